@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, sharding
+from . import chat, media, mixing, packing, repetition, sharding, toxicity
 from .common import documents
 
 
@@ -26,10 +26,22 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op6_chat": chat.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op6_chat": chat.ORACLE, "op10_repetition": repetition.ORACLE}
