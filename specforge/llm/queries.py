@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, packing, repetition, sharding, toxicity
+from . import chat, media, mixing, neardup, packing, repetition, sharding, toxicity
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -44,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op6_chat": chat.ORACLE, "op10_repetition": repetition.ORACLE}
+    return {"op4_minhash": neardup.ORACLE, "op5_mixing": mixing.ORACLE, "op6_chat": chat.ORACLE, "op10_repetition": repetition.ORACLE}
