@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, neardup, packing, repetition, sharding, toxicity
+from . import chat, media, mixing, neardup, ngrams, packing, repetition, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -30,6 +34,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(documents(spark, sf_dir))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
