@@ -27,8 +27,8 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST_EPOCHS) -> li
     return [float(most * sizes[i]) if i in capped else level * weights[i] for i in range(len(sizes))]
 
 
-def mix(docs: DataFrame, salt: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
+def mix(docs: DataFrame, salt: str = "mix", *extra: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns extra for every row of docs (doc_id, text, source).
 
     Within a source rows stand in the order of md5(salt|doc_id), doc_id; whole epochs are taken first, then rows in
     that order up to the budget, of which the last row gives only as many words as are left. Null text has size 0, null
@@ -36,7 +36,7 @@ def mix(docs: DataFrame, salt: str = "mix") -> DataFrame:
     gives no rows. Repeated rows count each. Sources are few (a bounded set of names), documents of one may be many.
     """
     key = F.md5(F.concat(F.lit(salt + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("last"), key.alias("key"))
+    rows = docs.select("doc_id", "source", *extra, n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("last"), key.alias("key"))
     placed = running(rows, ["last", "source", "key", "doc_id"], ["size"], "mix-rows")
     spark = docs.sparkSession
     found = sorted(placed.groupBy("source").agg(F.sum("size").alias("s")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -50,7 +50,17 @@ def mix(docs: DataFrame, salt: str = "mix") -> DataFrame:
         before += r["s"]
     plan = spark.createDataFrame(table, "src string, source_size long, target double, source_before long, epochs long, rest long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("before_size") - F.col("source_before"))))
-    return placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *extra)
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """docs, all columns, each row as often as mix() takes it, rounded: whole texts only, so a source is within half a text of its budget.
+
+    Equal rows share what they get. A text without words gives no words and so no row.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    taken = mix(keyed, "mix", "__key").filter("taken > 0").groupBy("__key").agg(((2 * F.sum("taken") + F.sum("size")) / (2 * F.sum("size"))).cast("int").alias("__times"))
+    return keyed.join(taken.filter("__times > 0"), "__key").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -231,6 +231,14 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+
+def representatives(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """One row of docs, with all its columns, for each component of near_duplicates(); rows without doc_id all stay."""
+    kept = near_duplicates(docs, similar).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id IS NULL"))
+
+
 _W = r"'[^\x20\x09-\x0D]+'"
 ORACLE = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_W}) AS ws FROM documents),

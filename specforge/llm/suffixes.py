@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import chunks, drop, materialize, small_batches, utf8
 from .textkernel import mix, powers, prefix_hash, span_hash
@@ -238,9 +239,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*made)
     spans = repeated_spans(docs)
     names = docs.columns
-    schema = docs.schema
-    for name, kind in zip(made, ("long", "long", "long", "string")):
-        schema = schema.add(name, kind)
+    schema = StructType([*docs.schema.fields, *[StructField(k, LongType()) for k in made[:3]], StructField(made[3], StringType())])
     at = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,3 +263,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of dedup()."""
     return dedup(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def remaining(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with what dedup() leaves of each text; a text of which nothing is left goes with its row."""
+    left = dedup(docs)
+    return left.filter("n_removed = 0 OR n_removed < n_bytes").select(*docs.columns)

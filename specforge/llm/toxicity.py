@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import chunks, small_batches
 from .textkernel import BLANK, LOWER, PLACE, mix, prefix_hash
@@ -96,16 +97,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     return fit([np.frombuffer(s, np.int32) for _, s, _ in got], np.array([bool(t) for *_, t in got], bool))
 
 
-def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text), from whole texts.
-
-    Null and empty texts have no n-gram but the blanks and get the score of that; rows with equal text get equal scores;
-    without usable labels all scores follow the smoothed rate. A null doc_id is not held out.
-    """
+def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """All columns of docs and `__toxicity`, the probability that a row's whole text is toxic."""
     weights, bias = train(docs, labels, fit_rows)
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(weights)  # 4 bytes for each of SLOTS, whatever the input
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    model = docs.sparkSession.sparkContext.broadcast(weights)  # 4 bytes for each of SLOTS, whatever the input
+    names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, stamp = model.value, np.zeros(SLOTS, np.int32)
@@ -114,7 +110,21 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
             for i, (a, b) in enumerate(zip(offs[:-1], offs[1:])):
                 f = features(data[a:b], stamp)
                 out[i] = 1 / (1 + np.exp(-(np.sort(w[f]).sum(dtype=np.float64) / np.sqrt(max(1, len(f))) + bias)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out)], names=[*names, "__toxicity"])
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__toxicity", DoubleType())]))
+
+
+def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text), from whole texts.
+
+    Null and empty texts have no n-gram but the blanks and get the score of that; rows with equal text get equal scores;
+    without usable labels all scores follow the smoothed rate. A null doc_id is not held out. An empty table gives no rows.
+    """
+    out = scored(docs.select("doc_id", "text"), labels, fit_rows)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+
 
-    out = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double, predicted int")
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that score() does not call toxic."""
+    return scored(docs, labels).filter(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
