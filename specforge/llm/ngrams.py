@@ -223,13 +223,11 @@ def _send(shards: int):
     return work
 
 
-_MADE = "kind int, shard int, key long, base double, known long, model double, missed long, n long, blob binary"
+_MADE = "kind int, shard int, known long, n long, blob binary"
 
 
-def _made(kind: int, shard: int | None, key: np.ndarray, base=None, known=None, model=None, missed=None, n=None, blob=None) -> pa.RecordBatch:
-    size = len(key)
-    fill = lambda x, t: pa.array(np.zeros(size) if x is None else x).cast(t)
-    cols = [pa.array([kind] * size, pa.int32()), pa.array([shard] * size, pa.int32()), pa.array(key, pa.int64()), fill(base, pa.float64()), fill(known, pa.int64()), fill(model, pa.float64()), fill(missed, pa.int64()), fill(n, pa.int64()), pa.array([blob] * size, pa.binary())]
+def _made(kind: int, shard: int, blob: bytes, known: int = 0, n: int = 0) -> pa.RecordBatch:
+    cols = [pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([known], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _MADE.split(", ")])
 
 
@@ -251,6 +249,29 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.n
     return u, [np.bincount(inv, weights=v, minlength=len(u)) for v in values]
 
 
+def _packed_sums(total: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.RecordBatch]:
+    """Sums by document, packed for the shard of the document's key: rows do not multiply with the number of shards."""
+    if not total:
+        return
+    key, sums = _sum_by(*[np.concatenate(x) for x in zip(*total)])
+    to = _shard_of(key.view(np.uint64), shards)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[s] : cuts[s + 1]]
+        yield _made(0, int(s), _pack(key[own], *[v[own].astype(np.float64 if i == 0 else np.float32) for i, v in enumerate(sums)]))
+
+
+def _merge_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document from the packed sums of its shard."""
+    for _, sent in _by_shard(batches):
+        key, sums = _sum_by(*[np.concatenate(x) for x in zip(*sent)])
+        yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums)], names=["key", *_SUMS[: len(sums)]])
+
+
+_SUMS = ["base", "known", "model", "missed"]
+
+
 def _count_and_score(shards: int):
     """From what a shard was sent: kind 0 sums by document, kind 1 tokens whose pair is unseen, kind 2 the words' counts."""
 
@@ -275,7 +296,7 @@ def _count_and_score(shards: int):
             value, seen = trie.score(rank, v)
             c = np.where(rank >= 0, trie.counts[np.maximum(rank, 0)], 0) if len(trie.counts) else np.zeros(len(u), np.int64)
             word = context != BEGIN
-            total.append((keys, *[np.bincount(doc, weights=w, minlength=len(keys)) for w in (np.where(word, np.log10(c + 0.5)[pair], 0), word & (c > 0)[pair], value[pair], ~seen[pair], word)]))
+            total.append((keys, *[np.bincount(doc, weights=w, minlength=len(keys)) for w in (np.where(word, np.log10(c + 0.5)[pair], 0), word & (c > 0)[pair], value[pair], ~seen[pair])]))
             miss = np.flatnonzero(~seen[pair])
             if len(miss):
                 to = _shard_of(after[miss] << _LOW, shards)
@@ -285,22 +306,18 @@ def _count_and_score(shards: int):
                 for s in np.flatnonzero(np.diff(cuts)):
                     own = miss[cuts[s] : cuts[s + 1]]
                     there, at = np.unique(doc[own], return_inverse=True)
-                    yield _made(1, int(s), np.zeros(1, np.int64), blob=_pack(after[own], at.astype(np.uint32), keys[there]))
+                    yield _made(1, int(s), _pack(after[own], at.astype(np.uint32), keys[there]))
             words = trie.contexts != BEGIN
-            yield _made(2, int(shard), np.zeros(1, np.int64), known=[int(words.sum())], n=[int(trie.counts[words].sum())], blob=_pack(trie.contexts[words] >> _LOW, trie.counts[words].astype(np.int64)))
+            yield _made(2, int(shard), _pack(trie.contexts[words] >> _LOW, trie.counts[words].astype(np.int64)), int(words.sum()), int(trie.counts[words].sum()))
             if sum(len(t[0]) for t in total) > 2_000_000:
-                u, sums = _sum_by(*[np.concatenate(x) for x in zip(*total)])
-                yield _made(0, None, u, *sums)
+                yield from _packed_sums(total, shards)
                 total = []
-        if total:
-            u, sums = _sum_by(*[np.concatenate(x) for x in zip(*total)])
-            for a in range(0, len(u), 50_000):
-                yield _made(0, None, u[a : a + 50_000], *[s[a : a + 50_000] for s in sums])
+        yield from _packed_sums(total, shards)
 
     return work
 
 
-def _look_up(ends: int):
+def _look_up(ends: int, shards: int):
     """log10(c + 0.5) of the tokens sent on, summed by document; what a shard gets: its words' counts (2) and tokens (1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +336,7 @@ def _look_up(ends: int):
                     c = np.where(words[at] == p[0], counts[at], 0)
                 c = np.where(p[0] == END >> _LOW, ends, c)
                 total.append((p[2], np.bincount(p[1], weights=np.log10(c + 0.5), minlength=len(p[2]))))
-        if total:
-            u, (s,) = _sum_by(*[np.concatenate(x) for x in zip(*total)])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(s)], names=["key", "rest"])
+        yield from _packed_sums(total, shards)
 
     return work
 
@@ -341,15 +356,17 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     ends = rows.filter(~F.col("held_out")).count()
     kinds, words = made.filter("kind = 2").agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = words + ends, kinds + (ends > 0)
-    rest = made.filter("kind > 0").select("shard", "kind", "blob").repartition("shard").sortWithinPartitions("shard", F.desc("kind")).mapInArrow(_look_up(ends), "key long, rest double").groupBy("key").agg(F.sum("rest").alias("rest"))
-    sums = made.filter("kind = 0").groupBy("key").agg(*[F.sum(k).alias(k) for k in ("base", "known", "model", "missed", "n")])
+    merged = lambda df, *names: df.select("shard", "blob").repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_sums, "key long, " + ", ".join(f"{k} double" for k in names))
+    looked = made.filter("kind > 0").select("shard", "kind", "blob").repartition("shard").sortWithinPartitions("shard", F.desc("kind")).mapInArrow(_look_up(ends, shards), _MADE)
+    rest = merged(looked, "base").withColumnRenamed("base", "rest")
+    sums = merged(made.filter("kind = 0"), *_SUMS)
     whole = rows.select("doc_id", "key", "held_out", n_words(F.col("text")).alias("words")).join(sums, "key", "left").join(rest, "key", "left")
-    # equal rows were summed together: each has its part. Their number follows from the tokens that made the sums.
+    # equal rows were summed together: each has its part
     copies = F.count(F.lit(1)).over(Window.partitionBy("key"))
     total = F.log10(F.lit(float(n) + 0.5 * (v + 1)))
-    part = lambda k: F.coalesce(F.col(k), F.lit(0)) / F.col("copies")
+    part = lambda k: F.coalesce(F.col(k), F.lit(0.0)) / F.col("copies")
     tokens = F.col("words") + 1
     return whole.withColumn("copies", copies).select(
-        "doc_id", "held_out", tokens.alias("n_tokens"), (F.coalesce(F.col("known"), F.lit(0)) / F.col("copies") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", tokens.alias("n_tokens"), (F.round(part("known")) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (part("base") + F.lit(float(np.log10(ends + 0.5))) - tokens * total).alias("base_score"), (part("model") + part("rest") - part("missed") * total).alias("score"),
     )
