@@ -24,7 +24,10 @@ SHINGLE = 5
 SIMILAR = 85
 #: A value counts as common from LOCAL documents of one task and COMMON of all on; at most MOST_COMMON are told to all
 #: tasks (8 bytes each). This only orders values: results do not depend on it.
-LOCAL, COMMON, MOST_COMMON = 4, 24, 1_000_000
+LOCAL, COMMON, MOST_COMMON = 2, 6, 2_000_000
+#: Bits of a set's signature: the parity of how many of its hashes fall to each bit. Signatures differ in at most as many
+#: bits as the sets differ in shingles, so a pair whose signatures differ in more than a link allows is none.
+SIGNATURE = 256
 
 
 def least_shared(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
@@ -56,6 +59,20 @@ def _common(docs: DataFrame) -> np.ndarray:
     return np.sort(rows["value"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def signature(s: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1).astype(np.uint8)).tobytes()
+
+
+def most_different(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
+    """The most shingles in which linked sets of n and m can differ: n + m less twice the fewest shared."""
+    return n + m - 2 * least_shared(n, m, similar)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    data, _ = utf8(column)
+    return data.reshape(len(column), SIGNATURE // 8).view(np.uint64)
+
+
 def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -64,18 +81,19 @@ def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, common: np.ndarray, similar: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set) and the sketch, or null where this task has met the same set before."""
+    """doc_id, n, d1, d2 (digest of the set), its signature and the sketch, or null where this task has met the same set before."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MOST_COMMON values
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for rows, data, offs in chunks(batches, "text"):
-            n, d1, d2, sketch = [], [], [], []
+            n, d1, d2, sketch, sign = [], [], [], [], []
             for s in shingle_sets(data, offs, SHINGLE):
                 n.append(len(s))
                 key = (int(s.sum() & np.uint64((1 << 63) - 1)), int(mix(s ^ PLACE[60]).sum() & np.uint64((1 << 63) - 1))) if len(s) else (0, 0)
                 d1.append(key[0])
                 d2.append(key[1])
+                sign.append(signature(s))
                 if not len(s) or key in seen:
                     sketch.append(None)
                     continue
@@ -85,17 +103,17 @@ def _sketches(docs: DataFrame, common: np.ndarray, similar: int) -> DataFrame:
                 often = _isin(s, table)
                 k = len(s) - -(-similar * len(s) // 100) + 1
                 sketch.append(np.concatenate([s[~often], s[often]])[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(sign, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch", "sign"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, d1 long, d2 long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, d1 long, d2 long, sketch array<long>, sign binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
     """Numpy columns of sorted batches, cut so that no run of equal keys is split."""
     held: list[dict[str, np.ndarray]] = []
     for b in batches:
-        cols = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(b.schema.names)}
+        cols = {k: _signatures(b.column(i)) if k == "sign" else b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(b.schema.names)}
         v = cols[key]
         if not len(v):
             continue
@@ -137,26 +155,44 @@ def _lists(sketches: DataFrame, similar: int) -> DataFrame:
 
 
 def _rest(lists: DataFrame, similar: int) -> DataFrame:
-    """Pairs a < b of documents in one list and different components, of sizes that can be similar, with the number of lists they share."""
+    """Pairs a < b of documents in one list and different components, whose sizes and signatures allow a link, with the number of lists they share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches, "value"):
-            v, d, n, comp = c["value"], c["doc_id"], c["n"], c["component"]
+            v, d, n, comp, sign = c["value"], c["doc_id"], c["n"], c["component"], c["sign"]
             edges = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
+            found_a, found_b = [], []
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
                 last = np.searchsorted(n[s:e], n[s:e] * 100 // similar, "right")
-                for i in range(e - s - 1):  # rows are sorted by n
-                    j = np.arange(i + 1, last[i])
-                    j = j[comp[s + j] != comp[s + i]]
-                    if len(j):
-                        x, y = np.full(len(j), d[s + i]), d[s + j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                for i in range(s, e - 1):  # rows are sorted by n
+                    j = np.arange(i + 1, s + last[i - s])
+                    j = j[comp[j] != comp[i]]
+                    j = j[np.bitwise_count(sign[j] ^ sign[i]).sum(1) <= most_different(n[i], n[j], similar)]
+                    found_a.append(np.full(len(j), d[i]))
+                    found_b.append(d[j])
+            if found_a:
+                x, y = np.concatenate(found_a), np.concatenate(found_b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return lists.repartition("value").sortWithinPartitions("value", "n", "doc_id").mapInArrow(work, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) whose signatures allow a link."""
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"sign_{k}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            n, m = (r.column(k).to_numpy() for k in (2, 3))
+            ok = np.bitwise_count(_signatures(r.column(4)) ^ _signatures(r.column(5))).sum(1) <= most_different(n, m, similar)
+            yield r.select(["a", "b"]).filter(pa.array(ok))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b")
+    return both.mapInArrow(work, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar; texts: doc_id, text of all their documents."""
 
@@ -185,6 +221,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components so far."""
+    side = lambda k: label.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.filter(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -206,28 +249,40 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     same = materialize(same, "same-sets")
     lists = materialize(_lists(sets, similar), "lists")
     known = same.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    star = lists.filter("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
-    star = materialize(star.join(known, ["a", "b"], "left_anti"), "star-pairs")
-    ids = lists.select("doc_id").distinct()
+    signs = sets.select("doc_id", "n", "sign")
+    ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    pivots = lists.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    star = materialize(_possible(pivots.select(*ordered("doc_id", "pivot"), "k").groupBy("a", "b").agg(F.max("k").alias("k")).join(known, ["a", "b"], "left_anti"), signs, similar), "star-pairs")
+    ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
     texts = materialize(docs.join(ids, "doc_id"), "texts")
-    linked = materialize(_verified(star, texts, similar).union(known), "star-links")
+    # one pivot each first: most others then are in one component already
+    first = materialize(star.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
+    linked = materialize(_verified(first, texts, similar).union(known), "first-links")
+    label = materialize(components(linked), "labels")
+    later = _apart(star.join(first, ["a", "b"], "left_anti"), label)
+    linked = materialize(_verified(later, texts, similar).union(linked), "star-links")
+    drop(texts, first)
     label = materialize(components(linked), "labels")
     named = lists.join(label, lists["doc_id"] == label["id"], "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("value")
-    pairs = _rest(named.join(mixed, "value", "left_semi"), similar).join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    signed = named.join(mixed, "value", "left_semi").join(signs.select("doc_id", "sign"), "doc_id").select("value", "doc_id", "n", "component", "sign")
+    pairs = _rest(signed, similar).join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     size = sets.groupBy("doc_id").agg(F.max("n").alias("n"))
     # the sketch with the smaller greatest value holds all that both share below it: shared + what it left out bounds the overlap
     bound = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
     left_out = lambda n: F.ceil(n * similar / 100) - 1
     pairs = materialize(bound.filter(F.col("shared") + F.greatest(left_out(F.col("n_a")), left_out(F.col("n_b"))) >= F.ceil((F.col("n_a") + F.col("n_b")) * similar / (100 + similar))).select("a", "b"), "rest-pairs")
+    drop(lists, star)
     if pairs.isEmpty():
         final = label
     else:
+        texts = materialize(docs.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id"), "texts")
         more = materialize(_verified(pairs, texts, similar), "rest-links")
         final = label if more.isEmpty() else materialize(components(linked.union(more)), "labels")
+        drop(texts)
     free_shuffles(spark)
     out = sketches.join(final, sketches["doc_id"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    drop(lists, star, texts, pairs)
+    drop(pairs)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
