@@ -16,7 +16,7 @@ from .textkernel import BLANK, LOWER, PLACE, mix, prefix_hash
 #: Lengths in bytes of the character n-grams, and the number of feature slots they are hashed to.
 GRAMS, SLOTS = (4, 5), 1 << 20
 #: At most this many labelled rows are fitted, in the order of md5(doc_id): a documented bound.
-FIT_ROWS = 10_000
+FIT_ROWS = 5_000
 #: A feature counts if at least this many fitted rows have it and its log-count ratio is at least this far from 0.
 SEEN, RATIO = 4, 0.7
 #: Weight decay, step length, steps, and the probability from which a text is called toxic.
@@ -50,7 +50,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         return np.zeros(SLOTS, np.float32), float(np.log(rate / (1 - rate)))
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     pos = np.bincount(flat[toxic[owner]], minlength=SLOTS).astype(np.float64)
     both = np.bincount(flat, minlength=SLOTS)
     p, q = (pos + 1) / (toxic.sum() + 2), (both - pos + 1) / ((~toxic).sum() + 2)
