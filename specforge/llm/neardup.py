@@ -28,6 +28,8 @@ LOCAL, COMMON, MOST_COMMON = 2, 6, 2_000_000
 #: Bits of a set's signature: the parity of how many of its hashes fall to each bit. Signatures differ in at most as many
 #: bits as the sets differ in shingles, so a pair whose signatures differ in more than a link allows is none.
 SIGNATURE = 256
+#: Pairs that a task holds before it sums how many lists each pair shares and passes them on.
+PAIRS_HELD = 2_000_000
 
 
 def least_shared(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
@@ -154,14 +156,23 @@ def _lists(sketches: DataFrame, similar: int) -> DataFrame:
     return rows.repartition("value").sortWithinPartitions("value", "n", "doc_id").mapInArrow(work, "value long, doc_id long, n long, pivot long")
 
 
+def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Each distinct pair of the 2-row arrays once, with how often it occurs."""
+    pairs = np.concatenate(found, axis=1)
+    ids, place = np.unique(pairs, return_inverse=True)
+    place = place.reshape(pairs.shape).astype(np.int64)
+    keys, times = np.unique(place[0] * len(ids) + place[1], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)]), pa.array(times.astype(np.int64))], names=["a", "b", "shared"])
+
+
 def _rest(lists: DataFrame, similar: int) -> DataFrame:
     """Pairs a < b of documents in one list and different components, whose sizes and signatures allow a link, with the number of lists they share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for c in _runs(batches, "value"):
             v, d, n, comp, sign = c["value"], c["doc_id"], c["n"], c["component"], c["sign"]
             edges = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
-            found_a, found_b = [], []
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
@@ -170,13 +181,16 @@ def _rest(lists: DataFrame, similar: int) -> DataFrame:
                     j = np.arange(i + 1, s + last[i - s])
                     j = j[comp[j] != comp[i]]
                     j = j[np.bitwise_count(sign[j] ^ sign[i]).sum(1) <= most_different(n[i], n[j], similar)]
-                    found_a.append(np.full(len(j), d[i]))
-                    found_b.append(d[j])
-            if found_a:
-                x, y = np.concatenate(found_a), np.concatenate(found_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return lists.repartition("value").sortWithinPartitions("value", "n", "doc_id").mapInArrow(work, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+                    if len(j):
+                        found.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])]))
+                        held += len(j)
+                    if held > PAIRS_HELD:
+                        yield _counted(found)
+                        found, held = [], 0
+        if found:
+            yield _counted(found)
+
+    return lists.repartition("value").sortWithinPartitions("value", "n", "doc_id").mapInArrow(work, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
