@@ -2,8 +2,9 @@
 
 A document's sketch is the bottom k of its shingles' hashes, with k = n - ceil(t n) + 1 for n shingles and threshold t:
 two sets of Jaccard similarity t or more must share a value of their sketches, so inverted lists of the retained values
-meet every link. Values held by many documents are ordered after all others (any fixed order keeps that guarantee),
-which keeps common passages out of the sketches of documents that have enough of their own.
+meet every link. Values held by many documents are ordered last, the commonest after all others (any fixed order keeps
+that guarantee), which keeps common passages out of the sketches of documents that have enough of their own. Where two
+sketches first meet, the values that either set has from there on bound what both can share.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ LOCAL, COMMON, MOST_COMMON = 2, 6, 2_000_000
 #: Bits of a set's signature: the parity of how many of its hashes fall to each bit. Signatures differ in at most as many
 #: bits as the sets differ in shingles, so a pair whose signatures differ in more than a link allows is none.
 SIGNATURE = 256
-#: Pairs that a task holds before it sums how many lists each pair shares and passes them on.
+#: Pairs that a task holds before it drops repeated ones and passes them on.
 PAIRS_HELD = 2_000_000
 
 
@@ -37,7 +38,14 @@ def least_shared(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
     return -(-similar * (n + m) // (100 + similar))
 
 
-def _common(docs: DataFrame) -> np.ndarray:
+def shareable(n: np.ndarray, at: np.ndarray, m: np.ndarray, place: np.ndarray, similar: int) -> np.ndarray:
+    """Whether sets of n and m whose first shared value has these 0-based places in their orders can be similar."""
+    return np.minimum(n - at, m - place) >= least_shared(n, m, similar)
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The common values in order, and for each the whole part of log2 of how many documents have it."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
@@ -57,8 +65,10 @@ def _common(docs: DataFrame) -> np.ndarray:
         yield flush()
 
     counts = docs.select("text").mapInArrow(work, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "value").limit(MOST_COMMON).select("value").toArrow()
-    return np.sort(rows["value"].to_numpy().astype(np.int64).view(np.uint64))
+    rows = counts.orderBy(F.desc("n"), "value").limit(MOST_COMMON).select("value", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
+    values = rows["value"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], rows["level"].to_numpy().astype(np.int8)[order]
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -82,12 +92,20 @@ def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _sketches(docs: DataFrame, common: np.ndarray, similar: int) -> DataFrame:
+def _levels(values: np.ndarray, table: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The level of each value in the table, 0 for others."""
+    if not len(table):
+        return np.zeros(len(values), np.int8)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, levels[at], 0).astype(np.int8)
+
+
+def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: int) -> DataFrame:
     """doc_id, n, d1, d2 (digest of the set), its signature and the sketch, or null where this task has met the same set before."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MOST_COMMON values
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
+        (table, levels), seen = shared.value, set()
         for rows, data, offs in chunks(batches, "text"):
             n, d1, d2, sketch, sign = [], [], [], [], []
             for s in shingle_sets(data, offs, SHINGLE):
@@ -102,9 +120,8 @@ def _sketches(docs: DataFrame, common: np.ndarray, similar: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
-                often = _isin(s, table)
                 k = len(s) - -(-similar * len(s) // 100) + 1
-                sketch.append(np.concatenate([s[~often], s[often]])[:k].view(np.int64))
+                sketch.append(s[np.argsort(_levels(s, table, levels), kind="stable")[:k]].view(np.int64))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(sign, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch", "sign"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -130,48 +147,66 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.
         yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
 
+#: Pivots of a list besides its first document: those first in so many hash orders, the same in every list.
+PIVOTS = 4
+#: Size and place in one long: n << PLACES | place.
+PLACES = 31
+
+
 def _lists(sketches: DataFrame, similar: int) -> DataFrame:
-    """value, doc_id, n and pivot for each value that several documents retain.
+    """value, doc_id, size (see PLACES), pivots and whole for each value that several documents retain.
 
-    pivot: the first document of the list, in the order of n and doc_id, that is large enough to be similar.
+    pivots: the first document of the list, in the order of n and doc_id, that is large enough to be similar, and
+    PIVOTS others; the document itself where their places leave too little to share. whole: the list has pairs besides those with
+    pivots; lists of two have none, and only their pair is returned, if it can be similar.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches, "value"):
-            v, d, n = c["value"], c["doc_id"], c["n"]
+            v, d, n, at = c["value"], c["doc_id"], c["size"] >> PLACES, c["size"] & ((1 << PLACES) - 1)
             if not len(v):
                 continue
-            new = np.concatenate([[True], v[1:] != v[:-1]])
-            run = np.cumsum(new) - 1
+            run = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1
             many = np.bincount(run)[run] > 1
-            v, d, n, run = v[many], d[many], n[many], run[many]
+            v, d, n, at, run = v[many], d[many], n[many], at[many], run[many]
             if not len(v):
                 continue
+            order = np.lexsort((d, n, run))
+            v, d, n, at, run = v[order], d[order], n[order], at[order], run[order]
             # rows are sorted by run and n: the first of the same run with 100 n >= similar * own n
             width = int(n.max()) + 2
             first = np.searchsorted(run * width + n, run * width + -(-similar * n // 100), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(d), pa.array(n), pa.array(d[first])], names=["value", "doc_id", "n", "pivot"])
-
-    rows = sketches.filter(F.col("sketch").isNotNull()).select(F.explode("sketch").alias("value"), "doc_id", "n")
-    return rows.repartition("value").sortWithinPartitions("value", "n", "doc_id").mapInArrow(work, "value long, doc_id long, n long, pivot long")
-
-
-def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
-    """Each distinct pair of the 2-row arrays once, with how often it occurs."""
+            heads = [first]
+            for k in range(PIVOTS):
+                ranked = np.lexsort((mix(d.view(np.uint64) ^ PLACE[50 + k]), run))
+                heads.append(ranked[np.searchsorted(run, run)])
+            pivots = np.stack([np.where(shareable(n, at, n[i], at[i], similar), d[i], d) for i in heads], axis=1)
+            whole = np.bincount(run)[run] > 2
+            keep = whole | (pivots[:, 0] != d)
+            lists_of = pa.ListArray.from_arrays(np.arange(0, keep.sum() * pivots.shape[1] + 1, pivots.shape[1], dtype=np.int32), pivots[keep].ravel())
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep]) for x in (v, d, n << PLACES | at, whole)], lists_of], names=["value", "doc_id", "size", "whole", "pivots"])
+
+    rows = sketches.filter(F.col("sketch").isNotNull()).select("doc_id", "n", F.posexplode("sketch").alias("at", "value"))
+    rows = rows.select("value", "doc_id", F.shiftleft("n", PLACES).bitwiseOR(F.col("at").cast("long")).alias("size"))
+    return rows.repartition("value").sortWithinPartitions("value").mapInArrow(work, "value long, doc_id long, size long, whole boolean, pivots array<long>")
+
+
+def _distinct(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Each distinct pair of the 2-row arrays once."""
     pairs = np.concatenate(found, axis=1)
     ids, place = np.unique(pairs, return_inverse=True)
     place = place.reshape(pairs.shape).astype(np.int64)
-    keys, times = np.unique(place[0] * len(ids) + place[1], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)]), pa.array(times.astype(np.int64))], names=["a", "b", "shared"])
+    keys = np.unique(place[0] * len(ids) + place[1])
+    return pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)])], names=["a", "b"])
 
 
 def _rest(lists: DataFrame, similar: int) -> DataFrame:
-    """Pairs a < b of documents in one list and different components, whose sizes and signatures allow a link, with the number of lists they share."""
+    """Distinct pairs a < b of documents in one list and different components, whose sizes and places there allow a link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for c in _runs(batches, "value"):
-            v, d, n, comp, sign = c["value"], c["doc_id"], c["n"], c["component"], c["sign"]
+            v, d, comp, n, at = c["value"], c["doc_id"], c["component"], c["size"] >> PLACES, c["size"] & ((1 << PLACES) - 1)
             edges = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
@@ -180,31 +215,31 @@ def _rest(lists: DataFrame, similar: int) -> DataFrame:
                 for i in range(s, e - 1):  # rows are sorted by n
                     j = np.arange(i + 1, s + last[i - s])
                     j = j[comp[j] != comp[i]]
-                    j = j[np.bitwise_count(sign[j] ^ sign[i]).sum(1) <= most_different(n[i], n[j], similar)]
+                    j = j[shareable(n[i], at[i], n[j], at[j], similar)]
                     if len(j):
                         found.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])]))
                         held += len(j)
                     if held > PAIRS_HELD:
-                        yield _counted(found)
+                        yield _distinct(found)
                         found, held = [], 0
         if found:
-            yield _counted(found)
+            yield _distinct(found)
 
-    return lists.repartition("value").sortWithinPartitions("value", "n", "doc_id").mapInArrow(work, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return lists.repartition("value").sortWithinPartitions("value", "size", "doc_id").mapInArrow(work, "a long, b long").distinct()
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose signatures allow a link."""
+    """The distinct pairs (a, b, k) whose signatures allow a link."""
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"sign_{k}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            n, m = (r.column(k).to_numpy() for k in (2, 3))
-            ok = np.bitwise_count(_signatures(r.column(4)) ^ _signatures(r.column(5))).sum(1) <= most_different(n, m, similar)
-            yield r.select(["a", "b"]).filter(pa.array(ok))
+            n, m = (r.column(k).to_numpy() for k in (3, 4))
+            ok = np.bitwise_count(_signatures(r.column(5)) ^ _signatures(r.column(6))).sum(1) <= most_different(n, m, similar)
+            yield r.select(["a", "b", "k"]).filter(pa.array(ok))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b")
-    return both.mapInArrow(work, "a long, b long").distinct()
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "k", "n_a", "n_b", "sign_a", "sign_b")
+    return both.mapInArrow(work, "a long, b long, k long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
@@ -249,43 +284,39 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     text of fewer words is one shingle; a null text or one without words has none and no links. component_id is the
     smallest doc_id reachable. Rows that share a doc_id count as linked; a row without doc_id has no links, a null component and
     is kept. Equal sets are joined first and stand for one another; every list's members are checked against
-    its pivots on full sets; then all pairs of a list that are still apart are checked, except where their sketches
-    prove them dissimilar. An empty table gives no rows.
+    its pivots on full sets; then all pairs of a list that are still apart are checked, except where their places
+    in it or their signatures prove them dissimilar. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(_sketches(docs, _common(docs), similar), "sketches")
     sets = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    # equal sets: the smallest id of each digest
-    equal = sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    # equal sets: for each digest one document that has its sketch
+    equal = sets.groupBy("d1", "d2", "n").agg(F.min(F.when(F.col("sketch").isNotNull(), F.col("doc_id"))).alias("least"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     same = sets.select("doc_id", "d1", "d2", "n").join(equal, ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b")
     same = materialize(same, "same-sets")
     lists = materialize(_lists(sets, similar), "lists")
     known = same.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     signs = sets.select("doc_id", "n", "sign")
     ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    pivots = lists.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    pivots = lists.select("doc_id", F.explode(F.array_distinct("pivots")).alias("pivot")).filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("k"))
     star = materialize(_possible(pivots.select(*ordered("doc_id", "pivot"), "k").groupBy("a", "b").agg(F.max("k").alias("k")).join(known, ["a", "b"], "left_anti"), signs, similar), "star-pairs")
     ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
     texts = materialize(docs.join(ids, "doc_id"), "texts")
-    # one pivot each first: most others then are in one component already
-    first = materialize(star.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
+    # the pivot of the most lists first: most others then are in one component already
+    first = materialize(star.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b")), "first-pairs")
     linked = materialize(_verified(first, texts, similar).union(known), "first-links")
     label = materialize(components(linked), "labels")
-    later = _apart(star.join(first, ["a", "b"], "left_anti"), label)
+    later = _apart(star.select("a", "b").join(first, ["a", "b"], "left_anti"), label)
     linked = materialize(_verified(later, texts, similar).union(linked), "star-links")
     drop(texts, first)
     label = materialize(components(linked), "labels")
-    named = lists.join(label, lists["doc_id"] == label["id"], "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("value")
-    signed = named.join(mixed, "value", "left_semi").join(signs.select("doc_id", "sign"), "doc_id").select("value", "doc_id", "n", "component", "sign")
-    pairs = _rest(signed, similar).join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    size = sets.groupBy("doc_id").agg(F.max("n").alias("n"))
-    # the sketch with the smaller greatest value holds all that both share below it: shared + what it left out bounds the overlap
-    bound = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
-    left_out = lambda n: F.ceil(n * similar / 100) - 1
-    pairs = materialize(bound.filter(F.col("shared") + F.greatest(left_out(F.col("n_a")), left_out(F.col("n_b"))) >= F.ceil((F.col("n_a") + F.col("n_b")) * similar / (100 + similar))).select("a", "b"), "rest-pairs")
+    # a copy's lists hold the document that stands for it, in the same component
+    placed = label.join(same.select(F.col("a").alias("id"), F.lit(True).alias("copy")).distinct(), "id", "left")
+    named = lists.filter("whole").join(placed, lists["doc_id"] == placed["id"], "left").filter("copy IS NULL").select("value", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    tested = star.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = materialize(_possible(_rest(named, similar).join(tested, ["a", "b"], "left_anti").withColumn("k", F.lit(1).cast("long")), signs, similar), "rest-pairs")
     drop(lists, star)
     if pairs.isEmpty():
         final = label
