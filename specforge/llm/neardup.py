@@ -31,6 +31,8 @@ LOCAL, COMMON, MOST_COMMON = 2, 6, 2_000_000
 SIGNATURE = 256
 #: Pairs that a task holds before it drops repeated ones and passes them on.
 PAIRS_HELD = 2_000_000
+#: Bits that tell which documents' texts are needed: at most a 64th as many rows of 16 bytes are broadcast.
+SLOTS = 1 << 24
 
 
 def least_shared(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
@@ -201,12 +203,12 @@ def _distinct(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _rest(lists: DataFrame, similar: int) -> DataFrame:
-    """Distinct pairs a < b of documents in one list and different components, whose sizes and places there allow a link."""
+    """Distinct pairs a < b of documents in one list and different components, whose sizes, places there and signatures allow a link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for c in _runs(batches, "value"):
-            v, d, comp, n, at = c["value"], c["doc_id"], c["component"], c["size"] >> PLACES, c["size"] & ((1 << PLACES) - 1)
+            v, d, comp, sign, n, at = c["value"], c["doc_id"], c["component"], c["sign"], c["size"] >> PLACES, c["size"] & ((1 << PLACES) - 1)
             edges = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
@@ -216,6 +218,7 @@ def _rest(lists: DataFrame, similar: int) -> DataFrame:
                     j = np.arange(i + 1, s + last[i - s])
                     j = j[comp[j] != comp[i]]
                     j = j[shareable(n[i], at[i], n[j], at[j], similar)]
+                    j = j[np.bitwise_count(sign[j] ^ sign[i]).sum(1) <= most_different(n[i], n[j], similar)]
                     if len(j):
                         found.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])]))
                         held += len(j)
@@ -270,6 +273,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, and few others: told by SLOTS bits for all ids, so that no text is shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = ids.select(slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = docs.withColumn("slot", slot("doc_id")).withColumn("word", F.shiftright("slot", 6))
+    return placed.join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(*docs.columns)  # at most SLOTS / 64 rows
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs whose documents are in different components so far."""
     side = lambda k: label.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
@@ -303,7 +315,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     pivots = lists.select("doc_id", F.explode(F.array_distinct("pivots")).alias("pivot")).filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("k"))
     star = materialize(_possible(pivots.select(*ordered("doc_id", "pivot"), "k").groupBy("a", "b").agg(F.max("k").alias("k")).join(known, ["a", "b"], "left_anti"), signs, similar), "star-pairs")
     ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    texts = materialize(docs.join(ids, "doc_id"), "texts")
+    texts = materialize(_texts(docs, ids), "texts")
     # the pivot of the most lists first: most others then are in one component already
     first = materialize(star.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b")), "first-pairs")
     linked = materialize(_verified(first, texts, similar).union(known), "first-links")
@@ -314,14 +326,14 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     label = materialize(components(linked), "labels")
     # a copy's lists hold the document that stands for it, in the same component
     placed = label.join(same.select(F.col("a").alias("id"), F.lit(True).alias("copy")).distinct(), "id", "left")
-    named = lists.filter("whole").join(placed, lists["doc_id"] == placed["id"], "left").filter("copy IS NULL").select("value", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    named = lists.filter("whole").join(signs.select("doc_id", "sign"), "doc_id").join(placed, F.col("doc_id") == placed["id"], "left").filter("copy IS NULL").select("value", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"), "sign")
     tested = star.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs = materialize(_possible(_rest(named, similar).join(tested, ["a", "b"], "left_anti").withColumn("k", F.lit(1).cast("long")), signs, similar), "rest-pairs")
+    pairs = materialize(_rest(named, similar).join(tested, ["a", "b"], "left_anti"), "rest-pairs")
     drop(lists, star)
     if pairs.isEmpty():
         final = label
     else:
-        texts = materialize(docs.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id"), "texts")
+        texts = materialize(_texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "texts")
         more = materialize(_verified(pairs, texts, similar), "rest-links")
         final = label if more.isEmpty() else materialize(components(linked.union(more)), "labels")
         drop(texts)
