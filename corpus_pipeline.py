@@ -15,8 +15,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Least similarity, in percent, of word shingles; 85 is for query op4 only.
+NEAR_COPIES = 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.representatives(docs)
+    return neardup.representatives(docs, similar=NEAR_COPIES)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

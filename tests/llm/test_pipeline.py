@@ -1,7 +1,10 @@
 """The pipeline's stages, one by one, against plain Python on their own inputs."""
 
+import numpy as np
 import pytest
 
+from specforge.llm.textkernel import shingle_sets
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +27,16 @@ def test_representatives_are_distinct(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, SF)
     assert out.select("text").distinct().count() == out.filter("text IS NOT NULL").count()
+
+
+def test_near_copies_from_four_fifths_on(spark):
+    base = [f"w{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    near[30] = near[70] = "new"
+    far[20] = far[50] = far[80] = "new"
+    texts = [" ".join(x) for x in (base, near, far)]
+    a, b, c = (set(shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()) for t in texts)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and max(len(a & c) / len(a | c), len(b & c) / len(b | c)) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, df, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
