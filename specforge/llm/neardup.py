@@ -103,20 +103,21 @@ def _levels(values: np.ndarray, table: np.ndarray, levels: np.ndarray) -> np.nda
 
 
 def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), its signature and the sketch, or null where this task has met the same set before."""
+    """doc_id, n, d1, d2 (digest of the set), its signature and the sketch, or null for a row without doc_id and where this task has met the same set before in a row with one."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MOST_COMMON values
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, levels), seen = shared.value, set()
         for rows, data, offs in chunks(batches, "text"):
             n, d1, d2, sketch, sign = [], [], [], [], []
-            for s in shingle_sets(data, offs, SHINGLE):
+            nameless = rows.column(0).is_null().to_pylist()
+            for s, null in zip(shingle_sets(data, offs, SHINGLE), nameless):
                 n.append(len(s))
                 key = (int(s.sum() & np.uint64((1 << 63) - 1)), int(mix(s ^ PLACE[60]).sum() & np.uint64((1 << 63) - 1))) if len(s) else (0, 0)
                 d1.append(key[0])
                 d2.append(key[1])
                 sign.append(signature(s))
-                if not len(s) or key in seen:
+                if not len(s) or null or key in seen:
                     sketch.append(None)
                     continue
                 if len(seen) > 1_000_000:

@@ -173,6 +173,15 @@ def test_near_duplicates_edges(docs):
     assert sorted(r["doc_id"] for r in neardup.representatives(docs).filter("doc_id IN (5, 6, 100)").collect()) == [5]
 
 
+def test_near_duplicates_of_a_row_without_id(spark):
+    text = words(80, 1)
+    near = text.replace(text.split()[40], "zz")
+    df = spark.createDataFrame([(None, text), (3, text), (4, near), (5, text)], "doc_id long, text string").coalesce(1)
+    got = neardup.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {None: None, 3: 3, 4: 3, 5: 3} and len(got) == 4
+    assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
