@@ -17,6 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Least similarity, in percent, of word shingles; 85 is for query op4 only.
 NEAR_COPIES = 80
+#: Repeated passages of over 50 words, and of 400 bytes with fewer words.
+PASSAGES = (suffixes.WORDS, suffixes.BYTES)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.remaining(docs)
+    return suffixes.remaining(docs, PASSAGES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,22 +1,25 @@
-"""Removal of byte strings that occur elsewhere, by merging Burrows-Wheeler transforms of shards.
+"""Removal of strings that occur elsewhere, by merging Burrows-Wheeler transforms of shards.
 
-Only places that can begin a repeated string are sorted. Every string of WINDOW bytes has an anchor, the leftmost least
-hash among its GRAM-byte grams; equal strings have equal anchors at equal distances, so a string can occur twice only
+A Window says how long a string is, in units: bytes, or words (by their hashes, whatever blanks are between them).
+Only places that can begin a repeated string are sorted. Every string of a window's length has an anchor, the leftmost least
+hash among its grams; equal strings have equal anchors at equal distances, so a string can occur twice only
 if its anchor does. The starts that share an anchor occurrence form a segment; segments with the same anchor meet in
 one task and equal segments are sent once, with their number.
 
-A task splits its segments into shards and builds each shard's transform over symbols of STRIDE bytes, bounded to
-WINDOW bytes of context: class j holds the suffixes that begin j symbols behind a start, in order, and its transform is the symbol before each.
+A task splits its segments into shards and builds each shard's transform over symbols of so many units as the stride, bounded to
+the window's length of context: class j holds the suffixes that begin j symbols behind a start, in order, and its transform is the symbol before each.
 The shards are then merged by refining their interleave, symbol by symbol: the next interleave is a stable bucketing of
 the present one by the transforms' symbols, and a block (places whose prefixes agree so far) splits where symbols
 differ. Suffixes themselves are not compared again. After the last step a block of two or more is a repeated interval whose
-common prefix is at least WINDOW.
+common prefix is at least the window's length.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +28,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import chunks, drop, materialize, small_batches, utf8
-from .textkernel import mix, powers, prefix_hash, span_hash
+from .textkernel import mix, powers, prefix_hash, span_hash, word_spans
 
-#: Bytes of a string that counts; bytes of an anchor; bytes of a symbol.
-WINDOW, GRAM, STRIDE = 400, 64, 100
+
+class Window(NamedTuple):
+    """Units of a string that counts, of an anchor and of a symbol (a divisor of the length); words: a unit is a word, else a byte."""
+
+    length: int
+    gram: int
+    stride: int
+    words: bool = False
+
+
+#: Of query op2; of passages of over 50 words.
+BYTES, WORDS = Window(400, 64, 100), Window(51, 12, 17, True)
 SHARDS = 4
 #: Bytes of segments that a task sorts at once; starts at equal distances from the anchor are sorted apart beyond that.
 SORT_BYTES = 3 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 
 
+def units_of(data: np.ndarray, offs: np.ndarray, window: Window) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all texts, bytes or hashes of words, and the n + 1 offsets of the texts in them."""
+    if not window.words:
+        return data, offs
+    starts, ends, doc = word_spans(data, offs)
+    return span_hash(prefix_hash(data), starts, ends), np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offs) - 1))])
+
+
+def unit_prefix(units: np.ndarray) -> np.ndarray:
+    """prefix_hash() of bytes or of words."""
+    if units.dtype == np.uint8:
+        return prefix_hash(units)
+    c = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(units * powers(len(units))[0][: len(units)], out=c[1:])
+    return c
+
+
 def gram_hashes(c: np.ndarray, size: int) -> np.ndarray:
     _, down = powers(len(c))
     n = max(0, len(c) - size)
     return mix((c[size:] - c[:-size]) * down[:n]) if n else np.zeros(0, np.uint64)
 
 
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offs: np.ndarray, window: Window = BYTES) -> tuple[np.ndarray, ...]:
     """document number, anchor hash, segment hash, first start (within the document), number of starts and anchor's distance behind the first start of each segment."""
-    c = prefix_hash(data)
-    h = gram_hashes(c, GRAM)
-    w = WINDOW - GRAM + 1
+    c = unit_prefix(data)
+    h = gram_hashes(c, window.gram)
+    w = window.length - window.gram + 1
     length = np.diff(offs)
-    docs = np.flatnonzero(length >= WINDOW)
+    docs = np.flatnonzero(length >= window.length)
     if not len(docs):
         z = np.zeros(0, np.int64)
         return z, np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z
@@ -55,7 +85,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     key[: len(h)] = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     before = np.minimum.accumulate(key.reshape(-1, w), axis=1).reshape(-1)
     behind = np.minimum.accumulate(key.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    n_starts = length[docs] - WINDOW + 1
+    n_starts = length[docs] - window.length + 1
     ends = np.cumsum(n_starts)
     starts = np.arange(ends[-1]) + np.repeat(offs[docs] - (ends - n_starts), n_starts)
     least = (np.minimum(behind[starts], before[starts + w - 1]) & _PLACE).astype(np.int64)
@@ -63,7 +93,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.concatenate([first, [len(starts)]]))
     at = starts[first]
     doc = np.searchsorted(offs, at, "right") - 1
-    return doc, h[least[first]], span_hash(c, at, at + count + WINDOW - 1), at - offs[doc], count, least[first] - at
+    return doc, h[least[first]], span_hash(c, at, at + count + window.length - 1), at - offs[doc], count, least[first] - at
 
 
 def shard_transform(symbols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -93,13 +123,13 @@ def merge(transforms: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return z, begins if len(z) else np.zeros(0, bool)
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which starts begin a string of WINDOW bytes that another start (or, by weight, another copy) has too."""
+def repeated_starts(data: np.ndarray, starts: np.ndarray, weight: np.ndarray, window: Window = BYTES) -> np.ndarray:
+    """Which starts begin a string of the window's length that another start (or, by weight, another copy) has too."""
     n = len(starts)
     if not n:
         return np.zeros(0, bool)
-    h = gram_hashes(prefix_hash(data), STRIDE)
-    symbols = [h[starts + k] for k in range(0, WINDOW, STRIDE)]
+    h = gram_hashes(unit_prefix(data), window.stride)
+    symbols = [h[starts + k] for k in range(0, window.length, window.stride)]
     cuts = [n * k // SHARDS for k in range(SHARDS + 1)]
     built = [shard_transform([s[a:b] for s in symbols]) for a, b in zip(cuts, cuts[1:])]
     z, begins = merge([t for t, _ in built])
@@ -112,24 +142,26 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, weight: np.ndarray) ->
     return out
 
 
-def _ranges(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _ranges(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], window: Window = BYTES) -> Iterator[pa.RecordBatch]:
     """hash, sd and the runs of repeated starts (lo, hi), relative to the segment, from segments sorted by hash."""
     for key, sd, weight, rel, data, offs in rows:
-        counts = np.diff(offs) - WINDOW + 1
+        if window.words:
+            data, offs = data.view(np.uint64), offs // 8
+        counts = np.diff(offs) - window.length + 1
         ends = np.cumsum(counts)
         inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
         starts = inside + np.repeat(offs[:-1], counts)
         owner = np.repeat(np.arange(len(counts)), counts)
         flags = np.zeros(len(starts), bool)
         if len(data) <= 2 * SORT_BYTES:
-            flags = repeated_starts(data, starts, weight[owner])
+            flags = repeated_starts(data, starts, weight[owner], window)
         else:  # one anchor has very many segments: equal strings stand at equal distances from it
             distance = rel[owner] - inside
             each = max(1, SORT_BYTES // max(1, len(counts)))
             slot = (distance - distance.min()) // each
             for k in np.unique(slot):
                 at = np.flatnonzero(slot == k)
-                flags[at] = repeated_starts(data, starts[at], weight[owner[at]])
+                flags[at] = repeated_starts(data, starts[at], weight[owner[at]], window)
         edge = np.flatnonzero(flags & ~np.concatenate([[False], flags[:-1] & (owner[1:] == owner[:-1])]))
         last = np.flatnonzero(flags & ~np.concatenate([flags[1:] & (owner[1:] == owner[:-1]), [False]]))
         o = owner[edge]
@@ -169,14 +201,14 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__key", F.xxhash64("doc_id", "text"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """__id, __key, spans: the byte spans (a, b) of each document that WINDOW-byte strings found elsewhere cover, not yet united."""
+def repeated_spans(docs: DataFrame, window: Window = BYTES) -> DataFrame:
+    """__id, __key, spans: the spans (a, b) of each document, in units, that strings of the window's length found elsewhere cover, not yet united."""
     small_batches(docs.sparkSession)
     keyed = _with_key(docs.select("doc_id", "text")).select("__id", "__key", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in chunks(batches, "text"):
-            doc, h, sd, first, count, rel = anchors(data, offs)
+            doc, h, sd, first, count, rel = anchors(*units_of(data, offs, window), window)
             cols = [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(sd.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(rel.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "hash", "sd", "first", "count", "rel"])
 
@@ -191,53 +223,62 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for rows, data, offs in chunks(batches, "text"):
             ids, keys, lists = rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(3)
             h, s, w, r, segs = [], [], [], [], []
+            units, at = units_of(data, offs, window)
             for i, (who, key) in enumerate(zip(ids, keys)):
                 if (who, key) in done:  # a repeated row: its segments are sent and weighed already
                     continue
                 done.add((who, key))
                 v = lists[i].values
                 hash_, sd, weight, first, count, rel = (x.to_numpy() for x in v.flatten())
-                text = data[offs[i] : offs[i + 1]]
+                text = units[at[i] : at[i + 1]]
                 h.append(hash_)
                 s.append(sd)
                 w.append(weight)
                 r.append(rel)
                 for f, n in zip(first, count):
-                    g = text[f : f + n + WINDOW - 1]
+                    g = text[f : f + n + window.length - 1]
                     segs.append(g.tobytes())
             if segs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(s)), pa.array(np.concatenate(w)), pa.array(np.concatenate(r).astype(np.int64)), pa.array(segs, pa.binary())], names=["hash", "sd", "weight", "rel", "seg"])
 
     segments = keyed.join(wanted, ["__id", "__key"]).select("__id", "__key", "text", "segments").mapInArrow(cut, "hash long, sd long, weight long, rel long, seg binary")
-    found = segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _ranges(_grouped(b)), "hash long, sd long, lo long, hi long")
+    found = segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _ranges(_grouped(b), window), "hash long, sd long, lo long, hi long")
     found = materialize(found, "repeats")
-    spans = members.join(found, ["hash", "sd"]).select("__id", "__key", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + WINDOW).alias("b"))
+    spans = members.join(found, ["hash", "sd"]).select("__id", "__key", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + window.length).alias("b"))
     out = materialize(spans.distinct().groupBy("__id", "__key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     drop(members, found)
     return out
 
 
-def _keep(length: int, spans: list | None) -> tuple[np.ndarray, int]:
+def _borders(text: np.ndarray) -> np.ndarray:
+    """Where a cut before each word, or behind the last one, is made in a text: blanks before the first word and behind others go with them."""
+    starts, _, _ = word_spans(text, np.array([0, len(text)]))
+    return np.concatenate([[0], starts[1:], [len(text)]])
+
+
+def _keep(length: int, spans: Iterable[tuple[int, int]]) -> tuple[np.ndarray, int]:
     """Mask of the bytes that stay, and the number of maximal removed runs."""
     edge = np.zeros(length + 1, np.int64)
-    for s in spans or ():
-        edge[s["a"]] += 1
-        edge[s["b"]] -= 1
+    for a, b in spans:
+        edge[a] += 1
+        edge[b] -= 1
     gone = np.cumsum(edge[:length]) > 0
     return ~gone, int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if length else 0
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> DataFrame:
     """All columns of docs, text being what is left of it, with n_bytes, n_removed, n_spans and kept_sha256.
 
-    A byte goes if a string of WINDOW bytes that also starts anywhere else, in this or another text, covers it; all are
-    judged on the input, so no copy is spared. Null text counts as empty and stays null. Repeated rows are copies of each
+    A byte goes if a string of the length of any of the windows that also starts anywhere else, in this or another text,
+    covers it, with the blanks between and behind its words if the window is of words; all are judged on the input, so no copy is spared. Null text counts as empty and stays null. Repeated rows are copies of each
     other. Characters that a cut leaves broken are left out of text; kept_sha256 is of all bytes left. Columns of docs
     with these four names are replaced.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*made)
-    spans = repeated_spans(docs)
+    found = [repeated_spans(docs, w).withColumnRenamed("spans", f"spans{k}") for k, w in enumerate(windows)]
+    spans = reduce(lambda a, b: a.join(b, ["__id", "__key"], "full"), found)
+    of_windows = [f"spans{k}" for k in range(len(windows))]
     names = docs.columns
     schema = StructType([*docs.schema.fields, *[StructField(k, LongType()) for k in made[:3]], StructField(made[3], StringType())])
     at = names.index("text")
@@ -245,10 +286,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in chunks(batches, "text"):
             text, stats = [], [[], [], [], []]
-            lists, null = rows.column(len(names)).to_pylist(), rows.column(at).is_null().to_pylist()
-            for i, s in enumerate(lists):
+            lists, null = [rows.column(len(names) + k).to_pylist() for k in range(len(windows))], rows.column(at).is_null().to_pylist()
+            for i in range(rows.num_rows):
                 own = data[offs[i] : offs[i + 1]]
-                keep, n = _keep(len(own), s)
+                cut = []
+                for w, of_rows in zip(windows, lists):
+                    if of_rows[i]:
+                        border = _borders(own) if w.words else None
+                        cut += [(s["a"], s["b"]) if border is None else (border[s["a"]], border[s["b"]]) for s in of_rows[i]]
+                keep, n = _keep(len(own), cut)
                 left = own[keep].tobytes() if n else own.tobytes()
                 text.append(None if null[i] else left.decode(errors="ignore"))
                 for k, v in zip(stats, (len(own), len(own) - len(left), n, hashlib.sha256(left).hexdigest())):
@@ -257,7 +303,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, stats)], names=[*names, *made])
 
-    return _with_key(docs).join(spans, ["__id", "__key"], "left").select(*names, "spans").mapInArrow(work, schema)
+    return _with_key(docs).join(spans, ["__id", "__key"], "left").select(*names, *of_windows).mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -265,7 +311,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def remaining(docs: DataFrame) -> DataFrame:
+def remaining(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> DataFrame:
     """docs, all columns, with what dedup() leaves of each text; a text of which nothing is left goes with its row."""
-    left = dedup(docs)
+    left = dedup(docs, windows)
     return left.filter("n_removed = 0 OR n_removed < n_bytes").select(*docs.columns)
