@@ -141,8 +141,8 @@ class Profiler:
             out.dtype = "uuid"
         else:
             out.dtype = "str"
-            if f["d"] <= self.max_categories and f["d"] / f["n"] < 0.5:
-                cells, gone = suppress(frequencies(df, c, self.max_categories), self.min_cell)
+            if f["d"] <= self.max_categories and f["d"] / f["n"] < 0.5 or f["d"] <= MOST_CATEGORIES and f["d"] / f["n"] <= 0.05:
+                cells, gone = suppress(frequencies(df, c, max(self.max_categories, MOST_CATEGORIES)), self.min_cell)
                 names = redaction(cells) if self.redact else {}
                 total = sum(n for _, n in cells)
                 out.profile["categorical"] = {"values": [names.get(v, v) for v, _ in cells], "weights": [round(n / total, 4) for _, n in cells], "rare": gone, "suppressed": gone, "redacted": self.redact}
