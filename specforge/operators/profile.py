@@ -204,7 +204,7 @@ class Profiler:
             c.provenance = {**discovery.provenance(e, t.row_count), "reversed": e["reversed"]}
 
     def profile_set(self, tables: dict[str, DataFrame]) -> Spec:
-        """Several tables with the foreign keys between them, by inclusion of values, else by names."""
+        """Several tables with the foreign keys between them, by inclusion of values."""
         spec = Spec(tables=[self.table(df, n) for n, df in tables.items()])
         self._relationships(spec, tables)
         return spec
