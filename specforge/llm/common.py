@@ -100,6 +100,17 @@ def running(df: DataFrame, order: Sequence[str], sums: Sequence[str], tag: str)
     return out.select(*df.columns, (F.col("idx") + F.col("o_idx")).alias("idx"), *[(F.col(f"before_{s}") + F.col(f"o_{s}")).alias(f"before_{s}") for s in sums])
 
 
+def fresh(taken: Sequence[str], *wanted: str) -> list[str]:
+    """Each wanted name, with underscores before it until no taken name equals it, in any case."""
+    used, out = {k.lower() for k in taken}, []
+    for k in wanted:
+        while k.lower() in used:
+            k = f"_{k}"
+        used.add(k.lower())
+        out.append(k)
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and the n + 1 offsets of its values; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,10 +123,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str | int, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with about `most` bytes of text: the rows, their bytes and offsets."""
     for b in batches:
-        data, offs = utf8(b.column(b.schema.get_field_index(column)))
+        data, offs = utf8(b.column(column if isinstance(column, int) else b.schema.get_field_index(column)))
         i = 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)

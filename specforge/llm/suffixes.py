@@ -1,24 +1,27 @@
-"""Removal of strings that occur elsewhere, by merging Burrows-Wheeler transforms of shards.
+"""Removal of strings that occur elsewhere, by merging the Burrows-Wheeler transforms of shards.
 
 A Window says how long a string is, in units: bytes, or words (by their hashes, whatever blanks are between them).
-Only places that can begin a repeated string are sorted. Every string of a window's length has an anchor, the leftmost least
+Only places that can begin a repeated string are looked at. Every string of a window's length has an anchor, the leftmost least
 hash among its grams; equal strings have equal anchors at equal distances, so a string can occur twice only
 if its anchor does. The starts that share an anchor occurrence form a segment; segments with the same anchor meet in
-one task and equal segments are sent once, with their number.
-
-A task splits its segments into shards and builds each shard's transform over symbols of so many units as the stride, bounded to
-the window's length of context: class j holds the suffixes that begin j symbols behind a start, in order, and its transform is the symbol before each.
-The shards are then merged by refining their interleave, symbol by symbol: the next interleave is a stable bucketing of
-the present one by the transforms' symbols, and a block (places whose prefixes agree so far) splits where symbols
-differ. Suffixes themselves are not compared again. After the last step a block of two or more is a repeated interval whose
-common prefix is at least the window's length.
+one task, equal segments once, with their number.
+
+There each shard of segments has its transform: the order of its suffixes that begin at anchors, their common prefixes, and,
+class by class to the left, the unit before each. interleave() merges the shards without sorting suffixes again: places start in the order of
+group and shard, each round buckets them stably by one more unit, a block splits where units differ, and the round
+in which it splits is the common prefix of its parts. A block whose places come from one shard is settled: order and
+common prefixes are that shard's. repeats() then goes back from the anchors, unit by unit, as transforms do: the order of the
+suffixes one unit further left is that of the present ones, bucketed by the unit before them; common prefixes of new neighbours are the
+least between them. Blocks of one place, and places that cannot reach the window's length any more, are settled. A block of two or more
+whose common prefix reaches the window's length is a repeated interval.
+
+An anchor with more than HOT different segments is not gathered: its strings are told apart by hashes of their own, counted where they are made.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -27,24 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import chunks, drop, materialize, small_batches, utf8
-from .textkernel import mix, powers, prefix_hash, span_hash, word_spans
+from .common import chunks, drop, fresh, materialize, small_batches, utf8
+from .textkernel import PLACE, mix, powers, prefix_hash, span_hash, word_spans
 
 
 class Window(NamedTuple):
-    """Units of a string that counts, of an anchor and of a symbol (a divisor of the length); words: a unit is a word, else a byte."""
+    """Units of a string that counts and of an anchor's gram; words: a unit is a word, else a byte."""
 
     length: int
     gram: int
-    stride: int
     words: bool = False
 
 
 #: Of query op2; of passages of over 50 words.
-BYTES, WORDS = Window(400, 64, 100), Window(51, 12, 17, True)
+BYTES, WORDS = Window(400, 64), Window(51, 12, True)
 SHARDS = 4
-#: Bytes of segments that a task sorts at once; starts at equal distances from the anchor are sorted apart beyond that.
-SORT_BYTES = 3 << 20
+#: Bytes of segments that a task merges at once, in whole groups of one anchor each.
+GROUP_BYTES = 8 << 20
+#: Most different segments of an anchor that meet in one task, some 750 bytes each.
+HOT = 1000
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -89,164 +93,254 @@ def anchors(data: np.ndarray, offs: np.ndarray, window: Window = BYTES) -> tuple
     ends = np.cumsum(n_starts)
     starts = np.arange(ends[-1]) + np.repeat(offs[docs] - (ends - n_starts), n_starts)
     least = (np.minimum(behind[starts], before[starts + w - 1]) & _PLACE).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    owner = np.repeat(docs, n_starts)
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
     count = np.diff(np.concatenate([first, [len(starts)]]))
-    at = starts[first]
-    doc = np.searchsorted(offs, at, "right") - 1
+    at, doc = starts[first], owner[first]
     return doc, h[least[first]], span_hash(c, at, at + count + window.length - 1), at - offs[doc], count, least[first] - at
 
 
-def shard_transform(symbols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of one shard: for each class, from the last symbol to the first, the symbols before its sorted suffixes; the order of its starts."""
-    order = np.arange(len(symbols[0]))
-    sent = []
-    for s in reversed(symbols):
-        before = s[order]
-        sent.append(before)
-        order = order[np.argsort(before, kind="stable")]
-    return sent, order
-
-
-def merge(transforms: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' sorted starts (shard numbers), and whether each place begins a block of equal prefixes."""
-    z = np.repeat(np.arange(len(transforms)), [len(t[0]) for t in transforms])
-    block = np.zeros(len(z), np.int64)
-    for step in range(len(transforms[0])):
-        symbols = np.empty(len(z), np.uint64)
-        for shard, t in enumerate(transforms):
-            symbols[z == shard] = t[step]
-        order = np.argsort(symbols, kind="stable")
-        z, symbols, block = z[order], symbols[order], block[order]
-        begins = np.ones(len(z), bool)
-        begins[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(begins)
-    return z, begins if len(z) else np.zeros(0, bool)
-
-
-def repeated_starts(data: np.ndarray, starts: np.ndarray, weight: np.ndarray, window: Window = BYTES) -> np.ndarray:
-    """Which starts begin a string of the window's length that another start (or, by weight, another copy) has too."""
-    n = len(starts)
-    if not n:
-        return np.zeros(0, bool)
-    h = gram_hashes(unit_prefix(data), window.stride)
-    symbols = [h[starts + k] for k in range(0, window.length, window.stride)]
-    cuts = [n * k // SHARDS for k in range(SHARDS + 1)]
-    built = [shard_transform([s[a:b] for s in symbols]) for a, b in zip(cuts, cuts[1:])]
-    z, begins = merge([t for t, _ in built])
-    merged = np.empty(n, np.int64)
-    for shard, ((_, order), a) in enumerate(zip(built, cuts)):
-        merged[z == shard] = order + a
-    at = np.cumsum(begins) - 1
-    out = np.zeros(n, bool)
-    out[merged] = np.bincount(at, weights=weight[merged])[at] > 1
-    return out
+class Segments(NamedTuple):
+    """Segments of whole groups: their units and n + 1 offsets, the group of each, the place of its anchor in the units."""
+
+    units: np.ndarray
+    offs: np.ndarray
+    group: np.ndarray
+    anchor: np.ndarray
+
 
+def interleave(s: Segments, shards: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of all shards in the order of group and suffix from the anchor on, and each one's common prefix with the one before, up to `most`; -1 before a group.
 
-def _ranges(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], window: Window = BYTES) -> Iterator[pa.RecordBatch]:
+    A shard is such an order with its common prefixes.
+    """
+    order, own = (np.concatenate([x[k] for x in shards]) for k in (0, 1))
+    shard = np.repeat(np.arange(len(shards)), [len(x[0]) for x in shards])
+    by = np.argsort(s.group[order], kind="stable")
+    order, own, shard = order[by], own[by], shard[by]
+    group = s.group[order]
+    b = np.concatenate([[True], group[1:] != group[:-1]])
+    prefix = np.full(len(order), -1)
+    p = np.arange(len(order))  # places in unsettled blocks; b: those that begin one
+    new = True
+    for r in range(most):
+        if new:
+            first = np.flatnonzero(b)
+            one = np.minimum.reduceat(shard[p], first) == np.maximum.reduceat(shard[p], first)
+            done = np.repeat(one, np.diff(np.concatenate([first, [len(p)]])))
+            known = p[done & ~b]
+            prefix[known] = own[known]
+            p, b = p[~done], b[~done]
+            if not len(p):
+                return order, prefix
+        at = s.anchor[order[p]] + r
+        ended = at >= s.offs[order[p] + 1]
+        unit = s.units[np.where(ended, 0, at)]
+        differ = np.concatenate([[True], (unit[1:] != unit[:-1]) | ended[1:] | ended[:-1]])
+        new = bool((differ & ~b).any())
+        if not new:
+            continue
+        block = np.cumsum(b) - 1
+        split = np.zeros(block[-1] + 1, bool)
+        split[block[differ & ~b]] = True
+        q = np.flatnonzero(split[block])
+        to = q[np.lexsort((unit[q], ~ended[q], block[q]))]
+        for x in (order, own, shard):
+            x[p[q]] = x[p[to]]
+        unit[q], ended[q] = unit[to], ended[to]
+        differ = np.concatenate([[True], (unit[1:] != unit[:-1]) | ended[1:] | ended[:-1]]) | b
+        prefix[p[differ & ~b]] = r
+        b = differ
+    prefix[p[~b]] = most
+    return order, prefix
+
+
+def transform(s: Segments, which: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """One shard's order and common prefixes, from its segments alone."""
+    return interleave(s, [(which[i : i + 1], np.full(1, -1)) for i in range(len(which))], most) if len(which) else (which, which)
+
+
+def _between(prefix: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The common prefixes of the kept places with the kept ones before them."""
+    at = np.flatnonzero(keep)
+    return np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else prefix[:0]
+
+
+def repeats(s: Segments, digest: np.ndarray, window: Window) -> np.ndarray:
+    """For each start of each segment, in order, whether another segment of its group has the same string of the window's length; digest deals segments to shards."""
+    length, rel = window.length, s.anchor - s.offs[:-1]
+    begin = np.concatenate([[0], np.cumsum(np.diff(s.offs) - length + 1)])
+    out = np.zeros(begin[-1], bool)
+    shards = [transform(s, np.flatnonzero(digest % np.uint64(SHARDS) == k), length) for k in range(SHARDS)]
+    order, prefix = interleave(s, [x for x in shards if len(x[0])], length)
+    t, new = 0, True
+    while True:
+        if new:
+            best = np.maximum(prefix, np.concatenate([prefix[1:], [-1]]))
+            live = (best >= 0) & (best + rel[order] >= length)
+            while not live.all():
+                prefix, order = _between(prefix, live), order[live]
+                best = np.maximum(prefix, np.concatenate([prefix[1:], [-1]]))
+                live = (best >= 0) & (best + rel[order] >= length)
+            at, place = s.anchor[order], begin[order] + rel[order]
+        if not len(order):
+            return out
+        out[place[best >= length - t] - t] = True
+        t += 1
+        if (ended := rel[order] < t).any():
+            prefix, order = _between(prefix, ~ended), order[~ended]
+            at, place, new = s.anchor[order], begin[order] + rel[order], True
+            if not len(order):
+                return out
+        else:
+            new = False
+        unit = s.units[at - t]
+        differ = np.concatenate([[False], (unit[1:] != unit[:-1]) & (prefix[1:] >= 0)])
+        if not differ.any():
+            if new:
+                best = np.maximum(prefix, np.concatenate([prefix[1:], [-1]]))
+            continue
+        new = True
+        block = np.cumsum(prefix < 0) - 1
+        split = np.zeros(block[-1] + 1, bool)
+        split[block[differ]] = True
+        q = np.flatnonzero(split[block])
+        to = q[np.lexsort((unit[q], block[q]))]
+        same = np.flatnonzero((unit[to[1:]] == unit[to[:-1]]) & (block[to[1:]] == block[to[:-1]]))
+        of = np.full(len(to), -1)
+        if len(same):
+            ranges = np.stack([to[same] + 1, to[same + 1] + 1], axis=1).ravel()
+            of[same + 1] = np.minimum.reduceat(np.append(prefix, -1), ranges)[::2]
+        order[q] = order[to]
+        prefix[q] = of
+
+
+def _ranges(rows: Iterator[tuple[np.ndarray, ...]], windows: Sequence[Window]) -> Iterator[pa.RecordBatch]:
     """hash, sd and the runs of repeated starts (lo, hi), relative to the segment, from segments sorted by hash."""
-    for key, sd, weight, rel, data, offs in rows:
-        if window.words:
-            data, offs = data.view(np.uint64), offs // 8
-        counts = np.diff(offs) - window.length + 1
-        ends = np.cumsum(counts)
-        inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
-        starts = inside + np.repeat(offs[:-1], counts)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        flags = np.zeros(len(starts), bool)
-        if len(data) <= 2 * SORT_BYTES:
-            flags = repeated_starts(data, starts, weight[owner], window)
-        else:  # one anchor has very many segments: equal strings stand at equal distances from it
-            distance = rel[owner] - inside
-            each = max(1, SORT_BYTES // max(1, len(counts)))
-            slot = (distance - distance.min()) // each
-            for k in np.unique(slot):
-                at = np.flatnonzero(slot == k)
-                flags[at] = repeated_starts(data, starts[at], weight[owner[at]], window)
-        edge = np.flatnonzero(flags & ~np.concatenate([[False], flags[:-1] & (owner[1:] == owner[:-1])]))
-        last = np.flatnonzero(flags & ~np.concatenate([flags[1:] & (owner[1:] == owner[:-1]), [False]]))
-        o = owner[edge]
-        yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(sd[o]), pa.array(inside[edge]), pa.array(inside[last])], names=["hash", "sd", "lo", "hi"])
+    for key, which, sd, weight, rel, data, offs in rows:
+        for w in np.unique(which):
+            window, at = windows[w], np.flatnonzero(which == w)
+            own = np.concatenate([np.arange(offs[i], offs[i + 1]) for i in at]) if len(at) < len(which) else slice(None)
+            units, ends = data[own], np.concatenate([[0], np.cumsum(np.diff(offs)[at])])
+            if window.words:
+                units, ends = units.view(np.uint64), ends // 8
+            _, group = np.unique(key[at], return_inverse=True)
+            flags = repeats(Segments(units, ends, group, ends[:-1] + rel[at]), sd[at].view(np.uint64), window)
+            counts = np.diff(ends) - window.length + 1
+            owner = np.repeat(np.arange(len(at)), counts)
+            flags |= (weight[at] > 1)[owner]
+            inside = np.arange(len(flags)) - np.repeat(np.cumsum(counts) - counts, counts)
+            edge = np.flatnonzero(flags & ~np.concatenate([[False], flags[:-1] & (owner[1:] == owner[:-1])]))
+            last = np.flatnonzero(flags & ~np.concatenate([flags[1:] & (owner[1:] == owner[:-1]), [False]]))
+            o = at[owner[edge]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(sd[o]), pa.array(inside[edge]), pa.array(inside[last])], names=["hash", "sd", "lo", "hi"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of whole hashes, about SORT_BYTES at a time."""
+    """Rows of whole hashes, about GROUP_BYTES at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def joined() -> tuple[np.ndarray, ...]:
-        cols = [np.concatenate([h[i] for h in held]) for i in range(5)]
-        offs = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[5]) for h in held]))])
+        cols = [np.concatenate([h[i] for h in held]) for i in range(6)]
+        offs = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[6]) for h in held]))])
         return *cols, offs
 
     for b in batches:
-        key, sd, weight, rel = (b.column(i).to_numpy() for i in range(4))
-        data, offs = utf8(b.column(4))
-        if not len(key):
+        cols = tuple(b.column(i).to_numpy() for i in range(5))
+        data, offs = utf8(b.column(5))
+        if not b.num_rows:
             continue
-        held.append((key, sd, weight, rel, data, offs))
+        held.append((*cols, data, offs))
         size += len(data)
-        if size >= SORT_BYTES:
-            k, s, w, r, d, o = joined()
-            cut = int(np.searchsorted(k, k[-1], "left"))
+        if size >= GROUP_BYTES:
+            *c, d, o = joined()
+            cut = int(np.searchsorted(c[0], c[0][-1], "left"))
             if cut:
-                yield k[:cut], s[:cut], w[:cut], r[:cut], d[: o[cut]], o[: cut + 1]
-            held = [(k[cut:], s[cut:], w[cut:], r[cut:], d[o[cut] :].copy(), o[cut:] - o[cut])]
-            size = len(held[0][4]) if cut else 0
+                yield *(x[:cut] for x in c), d[: o[cut]], o[: cut + 1]
+            held = [(*(x[cut:] for x in c), d[o[cut] :].copy(), o[cut:] - o[cut])]
+            size = len(held[0][5]) if cut else 0
     if held:
         yield joined()
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own content, by which they are found again: rows with equal keys are equal."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__key", F.xxhash64("doc_id", "text"))
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, sd, lo, hi from hash, sd and a sorted list of starts."""
+    for b in batches:
+        n = np.array([len(x) for x in b.column(2)], np.int64)
+        if not len(n):
+            continue
+        flat, owner = b.column(2).flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        apart = (flat[1:] != flat[:-1] + 1) | (owner[1:] != owner[:-1])
+        first, last = np.flatnonzero(np.concatenate([[True], apart])), np.flatnonzero(np.concatenate([apart, [True]]))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[first])), b.column(1).take(pa.array(owner[first])), pa.array(flat[first].astype(np.int64)), pa.array(flat[last].astype(np.int64))], names=["hash", "sd", "lo", "hi"])
+
+
+def _keyed(docs: DataFrame, k1: str, k2: str) -> DataFrame:
+    """The rows with 128 bits of their own content, by which they are found again: rows with equal keys are equal."""
+    return docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64("text", F.lit(1), "doc_id")})
 
 
-def repeated_spans(docs: DataFrame, window: Window = BYTES) -> DataFrame:
-    """__id, __key, spans: the spans (a, b) of each document, in units, that strings of the window's length found elsewhere cover, not yet united."""
+_SEGMENT = {"w": np.int8, "hash": np.int64, "sd": np.int64, "weight": np.int64, "first": np.int32, "count": np.int32, "rel": np.int32}
+
+
+def repeated_spans(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> DataFrame:
+    """k1, k2, spans: the spans (w, a, b) of each document, in units of window w, that strings of its length found elsewhere cover, not yet united."""
     small_batches(docs.sparkSession)
-    keyed = _with_key(docs.select("doc_id", "text")).select("__id", "__key", "text")
+    keyed = _keyed(docs.select("doc_id", "text"), "k1", "k2").select("k1", "k2", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in chunks(batches, "text"):
-            doc, h, sd, first, count, rel = anchors(*units_of(data, offs, window), window)
-            cols = [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(sd.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(rel.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "hash", "sd", "first", "count", "rel"])
-
-    members = materialize(keyed.mapInArrow(find, "__id string, __key long, hash long, sd long, first int, count int, rel int"), "anchors")
-    distinct = members.groupBy("hash", "sd").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("__id", "__key", "first", "count", "rel")).alias("rep"))
-    often = members.groupBy("hash").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("hash")
-    wanted = distinct.join(often, "hash").select(F.col("rep.__id").alias("__id"), F.col("rep.__key").alias("__key"), F.struct("hash", "sd", "weight", F.col("rep.first").alias("first"), F.col("rep.count").alias("count"), F.col("rep.rel").alias("rel")).alias("s"))
-    wanted = wanted.groupBy("__id", "__key").agg(F.collect_list("s").alias("segments"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[str, int]] = set()
-        for rows, data, offs in chunks(batches, "text"):
-            ids, keys, lists = rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(3)
-            h, s, w, r, segs = [], [], [], [], []
-            units, at = units_of(data, offs, window)
-            for i, (who, key) in enumerate(zip(ids, keys)):
-                if (who, key) in done:  # a repeated row: its segments are sent and weighed already
-                    continue
-                done.add((who, key))
-                v = lists[i].values
-                hash_, sd, weight, first, count, rel = (x.to_numpy() for x in v.flatten())
-                text = units[at[i] : at[i + 1]]
-                h.append(hash_)
-                s.append(sd)
-                w.append(weight)
-                r.append(rel)
-                for f, n in zip(first, count):
-                    g = text[f : f + n + window.length - 1]
-                    segs.append(g.tobytes())
-            if segs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(s)), pa.array(np.concatenate(w)), pa.array(np.concatenate(r).astype(np.int64)), pa.array(segs, pa.binary())], names=["hash", "sd", "weight", "rel", "seg"])
-
-    segments = keyed.join(wanted, ["__id", "__key"]).select("__id", "__key", "text", "segments").mapInArrow(cut, "hash long, sd long, weight long, rel long, seg binary")
-    found = segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _ranges(_grouped(b), window), "hash long, sd long, lo long, hi long")
-    found = materialize(found, "repeats")
-    spans = members.join(found, ["hash", "sd"]).select("__id", "__key", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + window.length).alias("b"))
-    out = materialize(spans.distinct().groupBy("__id", "__key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    drop(members, found)
+            for w, window in enumerate(windows):
+                doc, h, sd, first, count, rel = anchors(*units_of(data, offs, window), window)
+                cols = [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.array(np.full(len(doc), w, np.int8)), pa.array((h ^ PLACE[30 + w]).view(np.int64)), pa.array(sd.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (first, count, rel)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "w", "hash", "sd", "first", "count", "rel"])
+
+    members = materialize(keyed.mapInArrow(find, "k1 long, k2 long, w byte, hash long, sd long, first int, count int, rel int"), "anchors")
+    distinct = members.groupBy("hash", "sd").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("k1", "k2", "w", "first", "count", "rel")).alias("rep"))
+    often = distinct.groupBy("hash").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").select("hash", (F.col("kinds") > HOT).alias("hot"), (F.col("kinds") == 1).alias("alone"))
+    chosen = materialize(distinct.join(often, "hash").select("rep.k1", "rep.k2", "hot", "alone", F.struct("rep.w", "hash", "sd", "weight", "rep.first", "rep.count", "rep.rel").alias("s")), "segments")
+
+    def cut(hot: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, data, offs in chunks(batches, "text"):
+                lists = rows.column(1)
+                owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                c = {k: v.to_numpy().astype(t, copy=False) for (k, t), v in zip(_SEGMENT.items(), lists.flatten().flatten())}
+                for w, window in enumerate(windows):
+                    own = np.flatnonzero(c["w"] == w)
+                    if not len(own):
+                        continue
+                    units, at = units_of(data, offs, window)
+                    begin, n = at[owner[own]] + c["first"][own], c["count"][own].astype(np.int64)
+                    if hot:
+                        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        start = inside + np.repeat(begin, n)
+                        string = span_hash(unit_prefix(units), start, start + window.length) ^ np.repeat(c["hash"][own].view(np.uint64), n)
+                        yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), *[pa.array(np.repeat(c[k][own], n)) for k in ("hash", "sd", "weight")], pa.array(inside.astype(np.int32))], names=["string", "hash", "sd", "weight", "start"])
+                        continue
+                    segs = [units[a : a + k + window.length - 1].tobytes() for a, k in zip(begin.tolist(), n.tolist())]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[k][own]) for k in ("hash", "w", "sd", "weight")], pa.array(c["rel"][own].astype(np.int64)), pa.array(segs, pa.binary())], names=["hash", "w", "sd", "weight", "rel", "seg"])
+
+        return work
+
+    def texts(of: DataFrame) -> DataFrame:
+        return keyed.join(of.groupBy("k1", "k2").agg(F.collect_list("s").alias("segments")), ["k1", "k2"]).select("text", "segments")
+
+    # a segment that is the only one of its anchor needs no other: each of its strings occurs weight times
+    found = [chosen.filter("alone").select("s.hash", "s.sd", F.lit(0).cast("long").alias("lo"), (F.col("s.count") - 1).cast("long").alias("hi"))]
+    segments = texts(chosen.filter("NOT hot AND NOT alone")).mapInArrow(cut(False), "hash long, w byte, sd long, weight long, rel long, seg binary")
+    found.append(segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _ranges(_grouped(b), windows), "hash long, sd long, lo long, hi long"))
+    if not chosen.filter("hot").isEmpty():
+        strings = materialize(texts(chosen.filter("hot")).mapInArrow(cut(True), "string long, hash long, sd long, weight long, start int"), "strings")
+        again = strings.groupBy("string").agg(F.sum("weight").alias("n")).filter("n > 1").select("string")
+        found.append(strings.join(again, "string").groupBy("hash", "sd").agg(F.array_sort(F.collect_set("start"))).mapInArrow(_runs_of, "hash long, sd long, lo long, hi long"))
+    ranges = materialize(found[0].union(found[1]) if len(found) == 2 else found[0].union(found[1]).union(found[2]), "repeats")
+    drop(chosen, *([strings] if len(found) == 3 else []))
+    lengths = F.element_at(F.array(*[F.lit(w.length) for w in windows]), F.col("w") + 1)
+    spans = members.join(ranges, ["hash", "sd"]).select("k1", "k2", "w", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + lengths).alias("b"))
+    out = materialize(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("w", "a", "b")).alias("spans")), "spans")
+    drop(members, ranges)
     return out
 
 
@@ -256,62 +350,76 @@ def _borders(text: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], starts[1:], [len(text)]])
 
 
-def _keep(length: int, spans: Iterable[tuple[int, int]]) -> tuple[np.ndarray, int]:
-    """Mask of the bytes that stay, and the number of maximal removed runs."""
+def _covered(length: int, spans: Iterable[tuple[int, int]]) -> np.ndarray:
     edge = np.zeros(length + 1, np.int64)
     for a, b in spans:
         edge[a] += 1
         edge[b] -= 1
-    gone = np.cumsum(edge[:length]) > 0
-    return ~gone, int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if length else 0
+    return np.cumsum(edge[:length]) > 0
+
+
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """Lengths of the maximal runs."""
+    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return np.flatnonzero(edge < 0) - np.flatnonzero(edge > 0)
 
 
-def dedup(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> DataFrame:
-    """All columns of docs, text being what is left of it, with n_bytes, n_removed, n_spans and kept_sha256.
+MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_repeat"]
+
+
+def dedup(docs: DataFrame, windows: Sequence[Window] = (BYTES,), seen: Sequence[Window] = ()) -> DataFrame:
+    """All columns of docs, text being what is left of it, with n_bytes, n_removed, n_spans, kept_sha256 and longest_repeat.
 
     A byte goes if a string of the length of any of the windows that also starts anywhere else, in this or another text,
     covers it, with the blanks between and behind its words if the window is of words; all are judged on the input, so no copy is spared. Null text counts as empty and stays null. Repeated rows are copies of each
-    other. Characters that a cut leaves broken are left out of text; kept_sha256 is of all bytes left. Columns of docs
-    with these four names are replaced.
+    other. Characters that a cut leaves broken are left out of text; kept_sha256 is of all bytes left. longest_repeat: the words
+    of the longest run that repeated strings of word windows cover, those of `seen` included, by which nothing is cut; 0 where there is none. Columns of docs
+    with these five names are replaced; other names cannot clash. An empty table gives no rows.
     """
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = docs.drop(*made)
-    found = [repeated_spans(docs, w).withColumnRenamed("spans", f"spans{k}") for k, w in enumerate(windows)]
-    spans = reduce(lambda a, b: a.join(b, ["__id", "__key"], "full"), found)
-    of_windows = [f"spans{k}" for k in range(len(windows))]
-    names = docs.columns
-    schema = StructType([*docs.schema.fields, *[StructField(k, LongType()) for k in made[:3]], StructField(made[3], StringType())])
+    docs = docs.drop(*MADE)
+    names, k1, k2, spans = docs.columns, *fresh(docs.columns, "k1", "k2", "spans")
+    every = [*windows, *seen]
+    found = repeated_spans(docs, every).toDF(k1, k2, spans)
+    schema = StructType([*docs.schema.fields, *[StructField(k, StringType() if k == "kept_sha256" else LongType()) for k in MADE]])
     at = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in chunks(batches, "text"):
-            text, stats = [], [[], [], [], []]
-            lists, null = [rows.column(len(names) + k).to_pylist() for k in range(len(windows))], rows.column(at).is_null().to_pylist()
+        for rows, data, offs in chunks(batches, at):
+            text, stats = [], [[] for _ in MADE]
+            lists, null = rows.column(len(names)).to_pylist(), rows.column(at).is_null().to_pylist()
             for i in range(rows.num_rows):
                 own = data[offs[i] : offs[i + 1]]
-                cut = []
-                for w, of_rows in zip(windows, lists):
-                    if of_rows[i]:
-                        border = _borders(own) if w.words else None
-                        cut += [(s["a"], s["b"]) if border is None else (border[s["a"]], border[s["b"]]) for s in of_rows[i]]
-                keep, n = _keep(len(own), cut)
-                left = own[keep].tobytes() if n else own.tobytes()
+                cut, longest, border = [], 0, None
+                for w, window in enumerate(every if lists[i] else ()):
+                    of = [(s["a"], s["b"]) for s in lists[i] if s["w"] == w]
+                    if window.words and of:
+                        border = _borders(own) if border is None else border
+                        longest = max(longest, int(_runs(_covered(len(border) - 1, of)).max()))
+                        of = [(border[a], border[b]) for a, b in of]
+                    cut += of if w < len(windows) else []
+                gone = _covered(len(own), cut) if cut else None
+                left = own.tobytes() if gone is None else own[~gone].tobytes()
                 text.append(None if null[i] else left.decode(errors="ignore"))
-                for k, v in zip(stats, (len(own), len(own) - len(left), n, hashlib.sha256(left).hexdigest())):
+                for k, v in zip(stats, (len(own), len(own) - len(left), 0 if gone is None else len(_runs(gone)), hashlib.sha256(left).hexdigest(), longest)):
                     k.append(v)
             cols = [rows.column(k) for k in range(len(names))]
             cols[at] = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, stats)], names=[*names, *made])
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.string() if k == "kept_sha256" else pa.int64()) for k, x in zip(MADE, stats)]], names=schema.names)
 
-    return _with_key(docs).join(spans, ["__id", "__key"], "left").select(*names, *of_windows).mapInArrow(work, schema)
+    return _keyed(docs, k1, k2).join(found, [k1, k2], "left").select(*names, spans).mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of dedup()."""
-    return dedup(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of dedup() by strings of 400 bytes, and longest_repeat by passages of over 50 words."""
+    return dedup(docs.select("doc_id", "text"), (BYTES,), (WORDS,)).select("doc_id", *MADE)
 
 
 def remaining(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> DataFrame:
-    """docs, all columns, with what dedup() leaves of each text; a text of which nothing is left goes with its row."""
-    left = dedup(docs, windows)
-    return left.filter("n_removed = 0 OR n_removed < n_bytes").select(*docs.columns)
+    """docs, all columns, with what dedup() leaves of each text; a text of which nothing is left goes with its row.
+
+    Null and empty texts stay. Repeated rows lose the same. Any other column may have any name: added ones get names that docs does not have.
+    """
+    names, renamed = docs.columns, fresh(docs.columns, *[f"c{k}" for k in range(len(docs.columns))])
+    plain = docs.toDF(*[k if k in ("doc_id", "text") else r for k, r in zip(names, renamed)])
+    left = dedup(plain, windows)
+    return left.filter("n_removed = 0 OR n_removed < n_bytes").select(*plain.columns).toDF(*names)

@@ -90,22 +90,60 @@ def test_suffix_dedup(docs):
                 gone[i : i + 400] = True
         runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
         want.append((r["doc_id"], len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    got = [tuple(r) for r in suffixes.digest(docs).collect()]
+    got = [tuple(r)[:5] for r in suffixes.digest(docs).collect()]
     key = lambda x: (x[0] is None, x[0] or 0, x[4])
     assert sorted(got, key=key) == sorted(want, key=key) and any(x[2] for x in got)
 
 
-def test_hot_anchor_is_sorted_in_slices(monkeypatch):
-    texts = [words(40, f"l{i}") + PASSAGE + words(40, f"r{i}") for i in range(30)]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    doc, h, sd, first, count, rel = suffixes.anchors(data, offs)
-    order = np.argsort(h, kind="stable")
-    segs = [data[offs[doc[i]] + first[i] : offs[doc[i]] + first[i] + count[i] + 399] for i in order]
-    rows = (h[order].view(np.int64), sd[order].view(np.int64), np.ones(len(order), np.int64), rel[order], np.concatenate(segs), np.concatenate([[0], np.cumsum([len(s) for s in segs])]))
-    whole = [b.to_pydict() for b in suffixes._ranges(iter([rows]))]
-    monkeypatch.setattr(suffixes, "SORT_BYTES", 2000)
-    assert [b.to_pydict() for b in suffixes._ranges(iter([rows]))] == whole and whole[0]["hash"]
+def test_hot_anchors_are_not_gathered(spark, monkeypatch):
+    rows = [(i, words(40, f"l{i}") + PASSAGE + words(40, f"r{i}")) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, suffixes.digest(df).collect()))
+    monkeypatch.setattr(suffixes, "HOT", 5)
+    assert sorted(map(tuple, suffixes.digest(df).collect())) == whole and all(r[2] for r in whole)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_merged_transforms(seed):
+    r = np.random.default_rng(seed)
+    window = suffixes.Window(12, 3)
+    segs, group, rel = [], [], []
+    for g in range(r.integers(1, 5)):
+        base = r.integers(0, 2 + seed % 3, 21).astype(np.uint8)
+        for _ in range(r.integers(1, 9)):
+            one, a, b = base.copy(), r.integers(0, 10), r.integers(0, 10)
+            for i in r.integers(0, 21, r.integers(0, 3)):
+                if not 9 <= i < 12:
+                    one[i] = r.integers(0, 3)
+            lo, hi = (a, 21 - b) if 21 - b - a >= 12 and a <= 9 and 21 - b >= 12 else (0, 21)
+            segs.append(one[lo:hi])
+            group.append(g)
+            rel.append(9 - lo)
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in segs])])
+    s = suffixes.Segments(np.concatenate(segs), offs, np.array(group), offs[:-1] + np.array(rel))
+    suffix = [(group[i], *segs[i][rel[i] :].tolist()) for i in range(len(segs))]
+    order, prefix = suffixes.interleave(s, [suffixes.transform(s, np.flatnonzero(np.arange(len(segs)) % 3 == k), 12) for k in range(min(3, len(segs)))], 12)
+    assert [suffix[i][:13] for i in order] == sorted(x[:13] for x in suffix)
+    for i, j, p in zip(order, order[1:], prefix[1:]):
+        common = next((k for k, (x, y) in enumerate(zip(suffix[i][1:], suffix[j][1:])) if x != y), min(len(suffix[i]), len(suffix[j])) - 1)
+        assert p == (min(12, common) if suffix[i][0] == suffix[j][0] else -1)
+    strings = [(group[i], rel[i] - k, segs[i][k : k + 12].tobytes()) for i in range(len(segs)) for k in range(len(segs[i]) - 11)]
+    count = Counter(strings)
+    assert suffixes.repeats(s, r.integers(0, 99, len(segs)).astype(np.uint64), window).tolist() == [count[x] > 1 for x in strings]
+
+
+def test_longest_repeat(spark):
+    passage = words(60, "p")
+    rows = [(0, words(30, 1) + " " + passage), (1, passage.replace(" ", "\n") + "\t" + words(9, 2)), (2, words(300, 3)), (3, None), (4, " ".join(passage.split()[:50]))]
+    got = {r["doc_id"]: r["longest_repeat"] for r in suffixes.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 60, 1: 60, 2: 0, 3: 0, 4: 0}
+
+
+def test_remaining_keeps_clashing_columns(spark):
+    text = words(90, 1)
+    df = spark.createDataFrame([(0, text, 1, 2, 3, 4, 5), (1, text + " x", 1, 2, 3, 4, 5)], "doc_id long, text string, spans int, __key int, k1 int, K2 int, n_bytes int")
+    out = suffixes.remaining(df)
+    assert out.columns == df.columns and [tuple(r)[2:] for r in out.collect()] == [(1, 2, 3, 4, 5)]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 24])
