@@ -111,6 +111,30 @@ def fresh(taken: Sequence[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Bits that tell which values are needed: at most a 64th as many rows of 16 bytes are broadcast, whatever the input.
+SLOTS = 1 << 24
+
+
+def _slot(value: Column) -> tuple[Column, Column]:
+    slot = F.pmod(F.xxhash64(value), F.lit(SLOTS))
+    return F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def bitmap(values: DataFrame) -> DataFrame:
+    """SLOTS bits, 64 a row, one set for each value of the only column."""
+    word, bit = _slot(F.col(values.columns[0]))
+    return values.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+
+
+def among(df: DataFrame, column: str, bits: DataFrame, negate: bool = False) -> DataFrame:
+    """The rows of df whose value of `column` has its bit set (or, negated, all others): those with one of the bitmap's values, and few more. No row is shuffled."""
+    word, bits_of = fresh(df.columns, "word", "bits")
+    at, bit = _slot(F.col(f"`{column}`"))
+    joined = df.join(F.broadcast(bits.toDF(word, bits_of)), at == F.col(word), "left")
+    has = F.coalesce(F.col(bits_of).bitwiseAND(bit) != 0, F.lit(False))
+    return joined.filter(~has if negate else has).drop(word, bits_of)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and the n + 1 offsets of its values; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop, free_shuffles, materialize, small_batches, utf8
+from .common import among, bitmap, chunks, drop, free_shuffles, materialize, small_batches, utf8
 from .components import components
 from .textkernel import PLACE, mix, shingle_sets
 
@@ -31,8 +31,6 @@ LOCAL, COMMON, MOST_COMMON = 2, 6, 2_000_000
 SIGNATURE = 256
 #: Pairs that a task holds before it drops repeated ones and passes them on.
 PAIRS_HELD = 2_000_000
-#: Bits that tell which documents' texts are needed: at most a 64th as many rows of 16 bytes are broadcast.
-SLOTS = 1 << 24
 
 
 def least_shared(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
@@ -275,12 +273,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, and few others: told by SLOTS bits for all ids, so that no text is shuffled."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    words = ids.select(slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    placed = docs.withColumn("slot", slot("doc_id")).withColumn("word", F.shiftright("slot", 6))
-    return placed.join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(*docs.columns)  # at most SLOTS / 64 rows
+    """The rows of docs whose doc_id is in ids, and few others, without a shuffle of texts."""
+    return among(docs, "doc_id", bitmap(ids.select("doc_id")))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ suffixes one unit further left is that of the present ones, bucketed by the unit
 least between them. Blocks of one place, and places that cannot reach the window's length any more, are settled. A block of two or more
 whose common prefix reaches the window's length is a repeated interval.
 
-An anchor with more than HOT different segments is not gathered: its strings are told apart by hashes of their own, counted where they are made.
+An anchor with more than HOT different segments is not gathered: its strings are told apart by hashes of their own, first among those of one task.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import chunks, drop, fresh, materialize, small_batches, utf8
+from .common import among, bitmap, chunks, drop, fresh, materialize, small_batches, utf8
 from .textkernel import PLACE, mix, powers, prefix_hash, span_hash, word_spans
 
 
@@ -264,6 +264,22 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         yield joined()
 
 
+def _told_apart(units: np.ndarray, begin: np.ndarray, n: np.ndarray, key: np.ndarray, sd: np.ndarray, weight: np.ndarray, window: Window) -> pa.RecordBatch:
+    """string, weight, hash, sd, start of the strings of segments, n from place `begin` on.
+
+    Weight 1: a string that occurs once here. A string that occurs more often here has one row of weight 2, which tells others, and for each start a row of weight 0.
+    """
+    owner = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    start = inside + begin[owner]
+    string = span_hash(unit_prefix(units), start, start + window.length) ^ key[owner].view(np.uint64)
+    kinds, kind = np.unique(string, return_inverse=True)
+    more = np.bincount(kind, weights=weight[owner], minlength=len(kinds)) > 1
+    tell = kinds[more]
+    cols = [np.concatenate([string, tell]).view(np.int64), np.concatenate([np.where(more[kind], 0, 1), np.full(len(tell), 2)]), *[np.concatenate([x[owner], np.zeros(len(tell), np.int64)]) for x in (key, sd)], np.concatenate([inside, np.full(len(tell), -1)]).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["string", "weight", "hash", "sd", "start"])
+
+
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """hash, sd, lo, hi from hash, sd and a sorted list of starts."""
     for b in batches:
@@ -296,7 +312,10 @@ def repeated_spans(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> Dat
                 cols = [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.array(np.full(len(doc), w, np.int8)), pa.array((h ^ PLACE[30 + w]).view(np.int64)), pa.array(sd.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (first, count, rel)]]
                 yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "w", "hash", "sd", "first", "count", "rel"])
 
-    members = materialize(keyed.mapInArrow(find, "k1 long, k2 long, w byte, hash long, sd long, first int, count int, rel int"), "anchors")
+    every = materialize(keyed.mapInArrow(find, "k1 long, k2 long, w byte, hash long, sd long, first int, count int, rel int"), "anchors")
+    twice = bitmap(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
+    members = materialize(among(every, "hash", twice), "members")
+    drop(every)
     distinct = members.groupBy("hash", "sd").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("k1", "k2", "w", "first", "count", "rel")).alias("rep"))
     often = distinct.groupBy("hash").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").select("hash", (F.col("kinds") > HOT).alias("hot"), (F.col("kinds") == 1).alias("alone"))
     chosen = materialize(distinct.join(often, "hash").select("rep.k1", "rep.k2", "hot", "alone", F.struct("rep.w", "hash", "sd", "weight", "rep.first", "rep.count", "rep.rel").alias("s")), "segments")
@@ -314,10 +333,7 @@ def repeated_spans(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> Dat
                     units, at = units_of(data, offs, window)
                     begin, n = at[owner[own]] + c["first"][own], c["count"][own].astype(np.int64)
                     if hot:
-                        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        start = inside + np.repeat(begin, n)
-                        string = span_hash(unit_prefix(units), start, start + window.length) ^ np.repeat(c["hash"][own].view(np.uint64), n)
-                        yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), *[pa.array(np.repeat(c[k][own], n)) for k in ("hash", "sd", "weight")], pa.array(inside.astype(np.int32))], names=["string", "hash", "sd", "weight", "start"])
+                        yield _told_apart(units, begin, n, *[c[k][own] for k in ("hash", "sd", "weight")], window)
                         continue
                     segs = [units[a : a + k + window.length - 1].tobytes() for a, k in zip(begin.tolist(), n.tolist())]
                     yield pa.RecordBatch.from_arrays([*[pa.array(c[k][own]) for k in ("hash", "w", "sd", "weight")], pa.array(c["rel"][own].astype(np.int64)), pa.array(segs, pa.binary())], names=["hash", "w", "sd", "weight", "rel", "seg"])
@@ -325,16 +341,17 @@ def repeated_spans(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> Dat
         return work
 
     def texts(of: DataFrame) -> DataFrame:
-        return keyed.join(of.groupBy("k1", "k2").agg(F.collect_list("s").alias("segments")), ["k1", "k2"]).select("text", "segments")
+        return among(keyed, "k1", bitmap(of.select("k1"))).join(of.groupBy("k1", "k2").agg(F.collect_list("s").alias("segments")), ["k1", "k2"]).select("text", "segments")
 
     # a segment that is the only one of its anchor needs no other: each of its strings occurs weight times
     found = [chosen.filter("alone").select("s.hash", "s.sd", F.lit(0).cast("long").alias("lo"), (F.col("s.count") - 1).cast("long").alias("hi"))]
     segments = texts(chosen.filter("NOT hot AND NOT alone")).mapInArrow(cut(False), "hash long, w byte, sd long, weight long, rel long, seg binary")
     found.append(segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _ranges(_grouped(b), windows), "hash long, sd long, lo long, hi long"))
     if not chosen.filter("hot").isEmpty():
-        strings = materialize(texts(chosen.filter("hot")).mapInArrow(cut(True), "string long, hash long, sd long, weight long, start int"), "strings")
+        strings = materialize(texts(chosen.filter("hot")).mapInArrow(cut(True), "string long, weight long, hash long, sd long, start int"), "strings")
         again = strings.groupBy("string").agg(F.sum("weight").alias("n")).filter("n > 1").select("string")
-        found.append(strings.join(again, "string").groupBy("hash", "sd").agg(F.array_sort(F.collect_set("start"))).mapInArrow(_runs_of, "hash long, sd long, lo long, hi long"))
+        known = strings.filter("weight = 0").select("hash", "sd", "start").union(strings.filter("weight = 1").join(again, "string").select("hash", "sd", "start"))
+        found.append(known.groupBy("hash", "sd").agg(F.array_sort(F.collect_set("start"))).mapInArrow(_runs_of, "hash long, sd long, lo long, hi long"))
     ranges = materialize(found[0].union(found[1]) if len(found) == 2 else found[0].union(found[1]).union(found[2]), "repeats")
     drop(chosen, *([strings] if len(found) == 3 else []))
     lengths = F.element_at(F.array(*[F.lit(w.length) for w in windows]), F.col("w") + 1)
@@ -406,7 +423,10 @@ def dedup(docs: DataFrame, windows: Sequence[Window] = (BYTES,), seen: Sequence[
             cols[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.string() if k == "kept_sha256" else pa.int64()) for k, x in zip(MADE, stats)]], names=schema.names)
 
-    return _keyed(docs, k1, k2).join(found, [k1, k2], "left").select(*names, spans).mapInArrow(work, schema)
+    keyed, bits = _keyed(docs, k1, k2), bitmap(found.select(k1))
+    cut = among(keyed, k1, bits).join(found, [k1, k2], "left").select(*names, spans)
+    whole = among(keyed, k1, bits, negate=True).select(*names, F.lit(None).cast(found.schema[spans].dataType).alias(spans))
+    return cut.union(whole).mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
