@@ -15,7 +15,8 @@ suffixes one unit further left is that of the present ones, bucketed by the unit
 least between them. Blocks of one place, and places that cannot reach the window's length any more, are settled. A block of two or more
 whose common prefix reaches the window's length is a repeated interval.
 
-An anchor with more than HOT different segments is not gathered: its strings are told apart by hashes of their own, first among those of one task.
+An anchor with more than HOT different segments is not gathered: its strings are told apart by
+hashes of their own, first among those of one task, and only where what neighbouring strings have in common occurs twice.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import among, bitmap, chunks, drop, fresh, materialize, small_batches, utf8
+from .common import SLOTS, among, bitmap, chunks, drop, fresh, materialize, small_batches, utf8
 from .textkernel import PLACE, mix, powers, prefix_hash, span_hash, word_spans
 
 
@@ -46,9 +47,11 @@ class Window(NamedTuple):
 BYTES, WORDS = Window(400, 64), Window(51, 12, True)
 SHARDS = 4
 #: Bytes of segments that a task merges at once, in whole groups of one anchor each.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Most different segments of an anchor that meet in one task, some 750 bytes each.
 HOT = 1000
+#: Starts of a hot segment that are judged together first, by what their strings have in common.
+SLICE = 16
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -220,8 +223,9 @@ def _ranges(rows: Iterator[tuple[np.ndarray, ...]], windows: Sequence[Window]) -
     for key, which, sd, weight, rel, data, offs in rows:
         for w in np.unique(which):
             window, at = windows[w], np.flatnonzero(which == w)
-            own = np.concatenate([np.arange(offs[i], offs[i + 1]) for i in at]) if len(at) < len(which) else slice(None)
-            units, ends = data[own], np.concatenate([[0], np.cumsum(np.diff(offs)[at])])
+            units, ends = data, np.concatenate([[0], np.cumsum(np.diff(offs)[at])])
+            if len(at) < len(which):
+                units = data[np.repeat(which == w, np.diff(offs))]
             if window.words:
                 units, ends = units.view(np.uint64), ends // 8
             _, group = np.unique(key[at], return_inverse=True)
@@ -264,20 +268,89 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         yield joined()
 
 
-def _told_apart(units: np.ndarray, begin: np.ndarray, n: np.ndarray, key: np.ndarray, sd: np.ndarray, weight: np.ndarray, window: Window) -> pa.RecordBatch:
-    """string, weight, hash, sd, start of the strings of segments, n from place `begin` on.
+class _Hot(NamedTuple):
+    """Segments of hot anchors, of one window: their rows, units and n + 1 offsets; start of each string and its segment."""
 
-    Weight 1: a string that occurs once here. A string that occurs more often here has one row of weight 2, which tells others, and for each start a row of weight 0.
+    cols: dict[str, np.ndarray]
+    units: np.ndarray
+    offs: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch], windows: Sequence[Window]) -> Iterator[tuple[_Hot, Window]]:
+        for b in batches:
+            for w, window in enumerate(windows):
+                own = b.filter(pa.array(b.column(1).to_numpy() == w))
+                if own.num_rows:
+                    data, offs = utf8(own.column(5))
+                    units, offs = (data.view(np.uint64), offs // 8) if window.words else (data, offs)
+                    n = np.diff(offs) - window.length + 1
+                    owner = np.repeat(np.arange(len(n)), n)
+                    yield cls({k: own.column(i).to_numpy() for i, k in enumerate(_SENT) if k != "seg"}, units, offs, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + offs[owner], owner), window
+
+    def hashes(self, window: Window) -> tuple[np.ndarray, np.ndarray]:
+        """Of each string a hash, and one of what the strings of its slice, SLICE distances from the anchor, have in common."""
+        c, key = unit_prefix(self.units), self.cols["hash"][self.owner].view(np.uint64)
+        anchor = (self.offs[:-1] + self.cols["rel"])[self.owner]
+        slot = (anchor - self.start) // SLICE
+        core = anchor - slot * SLICE
+        return span_hash(c, self.start, self.start + window.length) ^ key, mix(span_hash(c, core, core + window.length - SLICE + 1) + slot.astype(np.uint64) * PLACE[20]) ^ key
+
+
+def _cores(windows: Sequence[Window]):
+    """core, n: how many segments have it here, or by weight."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hot, window in _Hot.of(batches, windows):
+            _, core = hot.hashes(window)
+            new = np.concatenate([[True], (core[1:] != core[:-1]) | (hot.owner[1:] != hot.owner[:-1])])
+            kinds, kind = np.unique(core[new], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(kind, weights=hot.cols["weight"][hot.owner[new]]).astype(np.int64))], names=["core", "n"])
+
+    return work
+
+
+def _strings(windows: Sequence[Window], bits: np.ndarray):
+    """string, weight, hash, sd, lo, hi of the strings of hot segments whose core may occur twice.
+
+    Weight 1: a string that occurs once here. A string that occurs more often here has one row of weight 2, which tells others, and its starts are in runs of weight 0.
     """
-    owner = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    start = inside + begin[owner]
-    string = span_hash(unit_prefix(units), start, start + window.length) ^ key[owner].view(np.uint64)
-    kinds, kind = np.unique(string, return_inverse=True)
-    more = np.bincount(kind, weights=weight[owner], minlength=len(kinds)) > 1
-    tell = kinds[more]
-    cols = [np.concatenate([string, tell]).view(np.int64), np.concatenate([np.where(more[kind], 0, 1), np.full(len(tell), 2)]), *[np.concatenate([x[owner], np.zeros(len(tell), np.int64)]) for x in (key, sd)], np.concatenate([inside, np.full(len(tell), -1)]).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["string", "weight", "hash", "sd", "start"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hot, window in _Hot.of(batches, windows):
+            string, core = hot.hashes(window)
+            slot = core & np.uint64(SLOTS - 1)
+            may = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+            string, owner, inside = string[may], hot.owner[may], (hot.start - hot.offs[hot.owner])[may]
+            kinds, kind = np.unique(string, return_inverse=True)
+            more = np.bincount(kind, weights=hot.cols["weight"][owner], minlength=len(kinds)) > 1
+            here = more[kind]
+            one, many = np.flatnonzero(~here), np.flatnonzero(here)
+            apart = (inside[many][1:] != inside[many][:-1] + 1) | (owner[many][1:] != owner[many][:-1])
+            first, last = (many[np.concatenate(x)] if len(many) else many for x in (([True], apart), (apart, [True])))
+            of, tell = np.concatenate([owner[one], owner[first]]), kinds[more]
+            none = np.zeros(len(tell), np.int64)
+            rows = [np.concatenate([string[one], np.zeros(len(first), np.uint64), tell]).view(np.int64), np.repeat([1, 0, 2], [len(one), len(first), len(tell)])]
+            rows += [np.concatenate([hot.cols[k][of], none]) for k in ("hash", "sd")] + [np.concatenate([inside[one], inside[x], none]) for x in (first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["string", "weight", "hash", "sd", "lo", "hi"])
+
+    return work
+
+
+def _of_hot(segments: DataFrame, windows: Sequence[Window]) -> tuple[DataFrame, DataFrame]:
+    """hash, sd, lo, hi of the segments (materialized) of hot anchors, and a written table that they are read from; strings are counted only where what a slice has in common occurs twice."""
+    spark = segments.sparkSession
+    slot = F.col("core").bitwiseAND(F.lit(SLOTS - 1))
+    cores = segments.mapInArrow(_cores(windows), "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1")
+    words = cores.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()  # SLOTS / 64 rows at most
+    bits = np.zeros(SLOTS // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits)  # 2 MB
+    strings = materialize(segments.mapInArrow(lambda b: _strings(windows, shared.value)(b), "string long, weight long, hash long, sd long, lo long, hi long"), "strings")
+    again = strings.filter("weight > 0").groupBy("string").agg(F.sum("weight").alias("n")).filter("n > 1").select("string")
+    known = strings.filter("weight = 1").join(again, "string").groupBy("hash", "sd").agg(F.array_sort(F.collect_set("lo"))).mapInArrow(_runs_of, "hash long, sd long, lo long, hi long")
+    return strings.filter("weight = 0").select("hash", "sd", "lo", "hi").union(known), strings
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +370,7 @@ def _keyed(docs: DataFrame, k1: str, k2: str) -> DataFrame:
     return docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64("text", F.lit(1), "doc_id")})
 
 
+_SENT = {"hash": "long", "w": "byte", "sd": "long", "weight": "long", "rel": "long", "seg": "binary"}
 _SEGMENT = {"w": np.int8, "hash": np.int64, "sd": np.int64, "weight": np.int64, "first": np.int32, "count": np.int32, "rel": np.int32}
 
 
@@ -320,40 +394,35 @@ def repeated_spans(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> Dat
     often = distinct.groupBy("hash").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").select("hash", (F.col("kinds") > HOT).alias("hot"), (F.col("kinds") == 1).alias("alone"))
     chosen = materialize(distinct.join(often, "hash").select("rep.k1", "rep.k2", "hot", "alone", F.struct("rep.w", "hash", "sd", "weight", "rep.first", "rep.count", "rep.rel").alias("s")), "segments")
 
-    def cut(hot: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, data, offs in chunks(batches, "text"):
-                lists = rows.column(1)
-                owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                c = {k: v.to_numpy().astype(t, copy=False) for (k, t), v in zip(_SEGMENT.items(), lists.flatten().flatten())}
-                for w, window in enumerate(windows):
-                    own = np.flatnonzero(c["w"] == w)
-                    if not len(own):
-                        continue
-                    units, at = units_of(data, offs, window)
-                    begin, n = at[owner[own]] + c["first"][own], c["count"][own].astype(np.int64)
-                    if hot:
-                        yield _told_apart(units, begin, n, *[c[k][own] for k in ("hash", "sd", "weight")], window)
-                        continue
-                    segs = [units[a : a + k + window.length - 1].tobytes() for a, k in zip(begin.tolist(), n.tolist())]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c[k][own]) for k in ("hash", "w", "sd", "weight")], pa.array(c["rel"][own].astype(np.int64)), pa.array(segs, pa.binary())], names=["hash", "w", "sd", "weight", "rel", "seg"])
-
-        return work
-
-    def texts(of: DataFrame) -> DataFrame:
-        return among(keyed, "k1", bitmap(of.select("k1"))).join(of.groupBy("k1", "k2").agg(F.collect_list("s").alias("segments")), ["k1", "k2"]).select("text", "segments")
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in chunks(batches, "text"):
+            lists = rows.column(1)
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            c = {k: v.to_numpy().astype(t, copy=False) for (k, t), v in zip(_SEGMENT.items(), lists.flatten().flatten())}
+            for w, window in enumerate(windows):
+                own = np.flatnonzero(c["w"] == w)
+                if not len(own):
+                    continue
+                units, at = units_of(data, offs, window)
+                segs = [units[a : a + k + window.length - 1].tobytes() for a, k in zip((at[owner[own]] + c["first"][own]).tolist(), c["count"][own].tolist())]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[k][own]) for k in ("hash", "w", "sd", "weight")], pa.array(c["rel"][own].astype(np.int64)), pa.array(segs, pa.binary())], names=list(_SENT))
+
+    def segments(of: str) -> DataFrame:
+        wanted = chosen.filter(of)
+        texts = among(keyed, "k1", bitmap(wanted.select("k1"))).join(wanted.groupBy("k1", "k2").agg(F.collect_list("s").alias("segments")), ["k1", "k2"])
+        return texts.select("text", "segments").mapInArrow(cut, ", ".join(f"{k} {t}" for k, t in _SENT.items()))
+
+    result = "hash long, sd long, lo long, hi long"
     # a segment that is the only one of its anchor needs no other: each of its strings occurs weight times
-    found = [chosen.filter("alone").select("s.hash", "s.sd", F.lit(0).cast("long").alias("lo"), (F.col("s.count") - 1).cast("long").alias("hi"))]
-    segments = texts(chosen.filter("NOT hot AND NOT alone")).mapInArrow(cut(False), "hash long, w byte, sd long, weight long, rel long, seg binary")
-    found.append(segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _ranges(_grouped(b), windows), "hash long, sd long, lo long, hi long"))
+    ranges = chosen.filter("alone").select("s.hash", "s.sd", F.lit(0).cast("long").alias("lo"), (F.col("s.count") - 1).cast("long").alias("hi"))
+    ranges = ranges.union(segments("NOT hot AND NOT alone").repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: _ranges(_grouped(b), windows), result))
+    written = [chosen]
     if not chosen.filter("hot").isEmpty():
-        strings = materialize(texts(chosen.filter("hot")).mapInArrow(cut(True), "string long, weight long, hash long, sd long, start int"), "strings")
-        again = strings.groupBy("string").agg(F.sum("weight").alias("n")).filter("n > 1").select("string")
-        known = strings.filter("weight = 0").select("hash", "sd", "start").union(strings.filter("weight = 1").join(again, "string").select("hash", "sd", "start"))
-        found.append(known.groupBy("hash", "sd").agg(F.array_sort(F.collect_set("start"))).mapInArrow(_runs_of, "hash long, sd long, lo long, hi long"))
-    ranges = materialize(found[0].union(found[1]) if len(found) == 2 else found[0].union(found[1]).union(found[2]), "repeats")
-    drop(chosen, *([strings] if len(found) == 3 else []))
+        written.append(materialize(segments("hot"), "hot-segments"))
+        hot, strings = _of_hot(written[-1], windows)
+        ranges, written = ranges.union(hot), [*written, strings]
+    ranges = materialize(ranges, "repeats")
+    drop(*written)
     lengths = F.element_at(F.array(*[F.lit(w.length) for w in windows]), F.col("w") + 1)
     spans = members.join(ranges, ["hash", "sd"]).select("k1", "k2", "w", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + lengths).alias("b"))
     out = materialize(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("w", "a", "b")).alias("spans")), "spans")
