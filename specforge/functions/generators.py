@@ -181,6 +181,26 @@ def gen_choice(ctx: Context) -> Column:
     return F.get(F.array(*[_literal(v, TYPES.get(ctx.dtype, T.StringType())) for v in values]), pick(cdf, ctx.u()))
 
 
+#: Keys of a conditional table that are written into the plan.
+INLINE = 200
+
+
+def conditional_table(p: dict, where: str) -> tuple[list[str], list[list], list[list[float]]]:
+    """The text of each key, its values and their cumulated weights."""
+    keys, values = p.get("keys") or [], p.get("values") or []
+    weights = p.get("weights") or [None] * len(keys)
+    if not len(keys) == len(values) == len(weights):
+        raise SpecError(f"{where}: keys, values and weights differ in length")
+    text = lambda k: "\x1f".join("\x00" if x is None or x != x else providers.as_text(x) for x in (k if isinstance(k, (list, tuple)) else [k]))
+    return [text(k) for k in keys], [list(v) for v in values], [[float(x) for x in cdf_of(v, w, where)] for v, w in zip(values, weights)]
+
+
+def conditional_key(p: dict) -> Column:
+    """The text of the row's key."""
+    on = [p["on"]] if isinstance(p["on"], str) else list(p["on"])
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in on])
+
+
 def gen_conditional(ctx: Context) -> Column:
     """A draw from the distribution of the determinant's value: exact key, then its text, then the default.
 
@@ -188,19 +208,17 @@ def gen_conditional(ctx: Context) -> Column:
     INLINE keys become a literal map here; the engine joins longer ones.
     """
     p, where = ctx.params, f"{ctx.table}.{ctx.column}"
-    on = [p["on"]] if isinstance(p["on"], str) else list(p["on"])
-    keys, values = p.get("keys") or [], p.get("values") or []
-    weights = p.get("weights") or [None] * len(keys)
-    if not len(keys) == len(values) == len(weights):
-        raise SpecError(f"{where}: keys, values and weights differ in length")
+    keys, values, weights = conditional_table(p, where)
     kind = TYPES.get(ctx.dtype, T.StringType())
-    text = lambda k: "\x1f".join("\x00" if x is None or x != x else providers.as_text(x) for x in (k if isinstance(k, (list, tuple)) else [k]))
-    key = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in on])
-    entry = lambda v, w: F.struct(F.array(*[_literal(x, kind) for x in v]).alias("v"), F.array(*[F.lit(x) for x in cdf_of(v, w, where)]).alias("c"))
-    found = F.try_element_at(F.map_from_arrays(F.array(*[F.lit(text(k)) for k in keys]), F.array(*[entry(v, w) for v, w in zip(values, weights)])), key) if keys else None
+    key = conditional_key(p)
+    entry = lambda v, c: F.struct(F.array(*[_literal(x, kind) for x in v]).alias("v"), F.array(*[F.lit(x) for x in c]).alias("c"))
+    if len(keys) > INLINE:
+        found = F.col(f"`_fk_{ctx.column}`")
+    else:
+        found = F.try_element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[entry(v, w) for v, w in zip(values, weights)])), key) if keys else None
     if p.get("default"):
         d = p["default"] if isinstance(p["default"], dict) else {"values": p["default"]}
-        default = entry(d["values"], d.get("weights"))
+        default = entry(d["values"], cdf_of(d["values"], d.get("weights"), where))
         found = default if found is None else F.coalesce(found, default)
     if found is None:
         raise SpecError(f"{where}: neither keys nor a default")

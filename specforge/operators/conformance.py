@@ -85,8 +85,9 @@ def check_table(tables: dict[str, DataFrame], t: TableSpec, if_semantics: str =
             continue
         n = orphans(df, tables[rel.parent], rel.columns, rel.parent_columns).count()
         out.append((t.name, f"foreign_key:{label}", "fail" if n else "pass", n))
-        if rel.ordered and rel.order_column and row_order and row_order in df.columns:
-            n = unordered_groups(df, rel.columns, rel.order_column, row_order).count()
+        by = row_order if row_order in df.columns else next((c.name for c in t.columns if c.generator == "sequence"), None)
+        if rel.ordered and rel.order_column and by:
+            n = unordered_groups(df, rel.columns, rel.order_column, by).count()
             out.append((t.name, f"ordered:{label}", "fail" if n else "pass", n))
         if bounds and (rel.min_children or rel.max_children is not None):
             kids = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(rel.columns)]).groupBy(*[f"k{i}" for i in range(len(rel.columns))]).count()

@@ -8,7 +8,7 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,19 +78,71 @@ def holds_exactly(df: DataFrame, x: list[str], y: str) -> bool:
     return bool(holds_frame(df, x, y).first()["holds"])
 
 
+def _value(c: str) -> Column:
+    """A value's text, null told from every text."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n"))
+
+
+def _hashes(columns) -> tuple[Column, Column]:
+    return F.xxhash64(*[_value(c) for c in columns]).alias("h"), F.xxhash64(F.lit(1), *[_value(c) for c in columns]).alias("g")
+
+
 def _group_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, int]]:
-    """For each column set the number of its distinct values (nulls count) and the sum of squared group sizes: one job."""
+    """For each column set the number of its distinct values (nulls count) and the sum of squared group sizes: one job for 24 sets, over 128-bit hashes."""
     out = {}
     for some in [sets[i : i + 24] for i in range(0, len(sets), 24)]:
-        cols = sorted({c for s in some for c in s})
-        hashed = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(s)], *[F.lit(None).cast("string").alias(f"c{k}") for k in range(len(s), max(map(len, some)))]).alias("v")) for i, s in enumerate(some)])).alias("e"))
-        by = hashed.groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("c")).groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        hashed = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *_hashes(s)) for i, s in enumerate(some)])).alias("e"))
+        by = hashed.groupBy("e.i", "e.h", "e.g").agg(F.count(F.lit(1)).alias("c")).groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("c") * F.col("c")).alias("s"))
         for r in by.collect():  # one row a set
             out[some[r["i"]]] = (r["k"], r["s"])
-        del cols
     return out
 
 
+def pair_measures(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], dict[str, float]]:
+    """g1, pdep and mu_prime of x -> y for many (x, y): one job for 16 pairs, over hashes."""
+    out = {}
+    for some in [pairs[i : i + 16] for i in range(0, len(pairs), 16)]:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(_value(x)).alias("x"), F.xxhash64(_value(y)).alias("y")) for i, (x, y) in enumerate(some)]))
+        xy = df.select(cells.alias("e")).groupBy("e.i", "e.x", "e.y").agg(F.count(F.lit(1)).alias("c"))
+        by_x = xy.groupBy("i", "x").agg(F.sum("c").alias("cx"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        a = by_x.groupBy("i").agg(F.sum("cx").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("cx") * F.col("cx")).alias("x2"), F.sum("q").alias("xy2"), F.sum(F.col("q") / F.col("cx")).alias("pd"))
+        b = xy.groupBy("i", "y").agg(F.sum("c").alias("cy")).groupBy("i").agg(F.sum(F.col("cy") * F.col("cy")).alias("y2"))
+        for r in a.join(b, "i").collect():  # one row a pair
+            n, k = r["n"], r["k"]
+            pdep, pdep_y = r["pd"] / n, r["y2"] / (n * n)
+            mu = 0.0 if n < 2 or k >= n or r["y2"] == n * n else max(0.0, min(1.0, 1 - (n - k) / (n - 1) * (1 - pdep) / (1 - pdep_y)))
+            out[some[r["i"]]] = {"g1": (r["x2"] - r["xy2"]) / (n * n) if n > 1 else 0.0, "pdep": pdep, "mu_prime": mu}
+    return out
+
+
+#: Rows on which column sets are first tested: repeats there rule a set out for good.
+TRIED_ROWS = 20_000
+
+
+def composite_keys(df: DataFrame, columns: list[str], distinct: dict[str, int], rows: int, most: int = 3, width: int = 3) -> list[list[str]]:
+    """The first `most` minimal sets of 2 to `width` columns without nulls that no two rows share, narrowest and alphabetically first.
+
+    Numbers of distinct values, then repeats in some rows, rule sets out; the others are counted on all rows.
+    """
+    if rows < 2:
+        return []
+    found: list[list[str]] = []
+    tried = df.select(*_q(columns)).limit(TRIED_ROWS)
+    for size in range(2, width + 1):
+        sets = [s for s in itertools.combinations(sorted(columns), size) if not any(set(f) <= set(s) for f in found) and 1.1 * reduce(lambda a, b: a * b, [distinct[c] for c in s]) >= rows]
+        if not sets or len(found) >= most:
+            continue
+        small = _group_counts(tried, sets)
+        n = min(rows, TRIED_ROWS)
+        sets = [s for s in sets if small[s][0] >= n]
+        for some in [sets[i : i + 8] for i in range(0, len(sets), 8)]:
+            whole = _group_counts(df, some)
+            found += [list(s) for s in some if whole[s][0] == rows]
+            if len(found) >= most:
+                break
+    return found[:most]
+
+
 def functional_dependencies(df: DataFrame, max_lhs: int = 2, error: float = 0.0, min_mu: float | None = None, columns: list[str] | None = None) -> list[dict]:
     """Minimal x -> y with g1 <= error (0: exact), by levels of the lattice, each level one job.
 
@@ -156,8 +208,8 @@ def inclusion_frame(tables: dict[str, DataFrame], columns: list[tuple[str, str]]
     return pairs.join(F.broadcast(sizes), pairs["child"] == sizes["a"]).select("child", "parent", "overlap", "distinct")  # one row a column
 
 
-def inclusion_dependencies(tables: dict[str, DataFrame], error: float = 0.0) -> list[dict]:
-    rows = inclusion_frame(tables).filter(F.col("overlap") >= F.col("distinct") * (1 - error) - 1e-9).collect()  # at most columns squared
+def inclusion_dependencies(tables: dict[str, DataFrame], error: float = 0.0, columns: list[tuple[str, str]] | None = None) -> list[dict]:
+    rows = inclusion_frame(tables, columns).filter(F.col("overlap") >= F.col("distinct") * (1 - error) - 1e-9).collect()  # at most columns squared
     return sorted(({"child": r["child"], "parent": r["parent"], "coverage": r["overlap"] / r["distinct"]} for r in rows), key=lambda d: (-d["coverage"], d["child"], d["parent"]))
 
 

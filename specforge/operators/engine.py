@@ -15,20 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import providers
-from ..functions.generators import TYPES, Context, apply_pii, build, resolve
+from ..functions.generators import INLINE, TYPES, Context, apply_pii, build, conditional_key, conditional_table, resolve
 from ..functions.rng import uniform
 from ..functions.rules import Rule, frame_resolver
 from ..plans.spec import ColumnSpec, Relationship, RuleViolation, Settings, Spec, SpecError, TableSpec, expand_many_to_many, sort_tables, topological
 
-#: Attempts drawn together in a round; parents of up to this many rows are joined by broadcast.
-ATTEMPTS_PER_ROUND, BROADCAST_ROWS = 8, 200_000
+#: Attempts drawn together in a round; parents of up to this many rows, and of up to this many bytes by their columns' types, are joined by broadcast.
+ATTEMPTS_PER_ROUND, BROADCAST_ROWS, BROADCAST_BYTES = 8, 200_000, 64 << 20
+#: Most attempts to make a column or key unique where no rule bounds them.
+UNIQUE_ATTEMPTS = 10_000
+#: Most groups of rows whose totals are summed in one task.
+GROUPS = 1 << 16
 
 
 class GenerationResult:
     """The tables of a run, lazily, with their columns in declared order."""
 
-    def __init__(self, spec: Spec, tables: dict[str, DataFrame]):
-        self.spec, self.tables = spec, tables
+    def __init__(self, spec: Spec, tables: dict[str, DataFrame], written: list[DataFrame] | None = None):
+        self.spec, self.tables, self._written = spec, tables, written or []
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -36,6 +40,12 @@ class GenerationResult:
     def to_frames(self) -> dict[str, DataFrame]:
         return dict(self.tables)
 
+    def close(self) -> None:
+        """Delete the intermediate rows of rejected attempts; the tables cannot be read afterwards."""
+        from ..sources.storage import drop
+
+        drop(*self._written)
+
     def write(self, out: str, fmt: str | None = None) -> None:
         from ..sources.files import write
 
@@ -109,6 +119,25 @@ def column_levels(t: TableSpec, spec: Spec) -> list[list[ColumnSpec]]:
     return [[c for c in free if depth[c.name] == d] for d in range(max(depth.values(), default=-1) + 1)]
 
 
+def redrawn(t: TableSpec) -> set[str]:
+    """The columns that a new attempt draws again: those that rules or keys name, and what depends on them."""
+    out = {c for k in [t.key, *t.unique_constraints, *[[c.name] for c in t.columns if c.constraints.get("unique")]] for c in k}
+    for text in t.rules:
+        out |= Rule(text).column_refs
+    while True:
+        more = set()
+        for c in t.columns:
+            on = c.params.get("on", [])
+            refs = set(c.depends_on) | set([on] if isinstance(on, str) else on)
+            for w in c.when:
+                refs |= Rule(w.condition).column_refs
+            if refs & out and c.name not in out:
+                more.add(c.name)
+        if not more:
+            return out
+        out |= more
+
+
 class Engine:
     """Runs a Spec on Spark. portable: randomness that other SQL engines can repeat bit for bit."""
 
@@ -117,20 +146,27 @@ class Engine:
         validate(self.spec)
         self.settings: Settings = self.spec.settings
         self.tables: dict[str, DataFrame] = {}
+        #: Rows of tables that lost some.
+        self.counts: dict[str, int] = {}
+        self.written: list[DataFrame] = []
 
-    def run(self, sink: Callable[[str, DataFrame], None] | None = None) -> GenerationResult:
-        """All tables; with a sink, each is also handed to it as soon as it is planned."""
+    def run(self, sink: Callable[[str, DataFrame], None] | None = None, with_id: bool = False) -> GenerationResult:
+        """All tables; with a sink, each is also handed to it as soon as it is planned, with_id: with its row number `_rid`."""
         for t in sort_tables(self.spec):
             self.tables[t.name] = self._table(t)
             if sink:
-                sink(t.name, self.tables[t.name].select(*[f"`{c.name}`" for c in t.columns]))
-        return GenerationResult(self.spec, {n: df.select(*[f"`{c.name}`" for c in self.spec.table(n).columns]) for n, df in self.tables.items()})
+                sink(t.name, self.tables[t.name].select(*["_rid"] * with_id, *[f"`{c.name}`" for c in t.columns]))
+        return GenerationResult(self.spec, {n: df.select(*[f"`{c.name}`" for c in self.spec.table(n).columns]) for n, df in self.tables.items()}, self.written)
 
     # parents
 
     def _u(self, t: TableSpec, what: str, *more) -> Column:
         return uniform(str(self.settings.seed), t.name, what, F.col("_rid"), *more, portable=self.portable)
 
+    def _rows(self, name: str) -> int:
+        """How many rows a finished table has."""
+        return self.counts.get(name, self.spec.table(name).row_count)
+
     def _numbered(self, name: str) -> DataFrame:
         """The parent's rows with `_idx` 0..n-1."""
         df = self.tables[name]
@@ -142,16 +178,19 @@ class Engine:
             return df
         parent = self._numbered(r.parent)
         pspec = self.spec.table(r.parent)
-        n = parent.count() if self.settings.fallback == "drop" and pspec.rules else pspec.row_count
+        n = self._rows(r.parent)
         if n == 0:
             raise SpecError(f"{t.name}: parent {r.parent} has no rows")
         low, high = r.min_children or 0, r.max_children
         if low * n > t.row_count or (high is not None and high * n < t.row_count):
             raise SpecError(f"{t.name}: {t.row_count} rows can't give each of {n} parents in {r.parent} between {low} and {high} children")
-        u = self._u(t, f"fk.{r.name}", *([F.col("_attempt")] if retry else []))
+        again = set(r.columns) & redrawn(t) or {r.name, r.parent} & {a for text in t.rules for a in Rule(text).parent_aliases}
+        u = self._u(t, f"fk.{r.name}", *([F.col("_attempt") if again else F.lit(0)] if retry else []))
         if t.metadata.get("many_to_many"):
             m, side = t.metadata["many_to_many"], [x.columns[0] for x in t.relationships].index(r.columns[0])
-            k, (na, nb) = t.row_count, [self.spec.table(x.parent).row_count for x in t.relationships]
+            k, (na, nb) = t.row_count, [self._rows(x.parent) for x in t.relationships]
+            if k > na * nb:
+                raise SpecError(f"{t.name}: more pairs than combinations")
             s = F.col("_rid") - 1
             base, extra = divmod(k, na)
             # the first `extra` left rows hold base + 1 pairs in a row, the rest base; right rows take turns
@@ -172,7 +211,8 @@ class Engine:
             df = df.withColumn("_want", F.floor(u * n).cast("long"))
         row = F.struct(*[F.col(f"`{c.name}`") for c in pspec.columns]).alias(f"__p_{r.name}")
         side = parent.select(F.col("_idx").alias("_want"), row)
-        joined = df.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "_want").drop("_want")
+        width = sum(64 if c.dtype in ("str", "uuid") else 16 for c in pspec.columns)
+        joined = df.join(F.broadcast(side) if n <= min(BROADCAST_ROWS, BROADCAST_BYTES // max(1, width)) else side, "_want").drop("_want")
         return self._copy(joined, r)
 
     def _copy(self, df: DataFrame, r: Relationship) -> DataFrame:
@@ -181,12 +221,14 @@ class Engine:
     def _shuffled(self, parent: DataFrame, r: Relationship, n: int) -> DataFrame:
         """Parents renumbered by a fixed affine permutation of 0..n-1, without a sort."""
         step = next(s for s in range(int(n * 0.618) | 1, 2 * n + 2) if _coprime(s, n))
-        return parent.withColumn("_idx", (F.col("_idx") * step + self.settings.seed % n) % n)
+        at = F.col("_idx") if n < 3_000_000_000 else F.col("_idx").cast("decimal(38,0)")
+        return parent.withColumn("_idx", ((at * step + self.settings.seed % n) % n).cast("long"))
 
     def _weighted(self, df: DataFrame, parent: DataFrame, t: TableSpec, r: Relationship, u: Column) -> DataFrame:
         """Parents in proportion to their weights: children and parents meet in slices of the cumulated weight."""
         w = F.greatest(F.lit(0.0), F.coalesce(F.col(f"`{r.weight_column}`").cast("double"), F.lit(0.0)))
-        blocks = 64
+        n = self._rows(r.parent)
+        blocks = max(64, min(GROUPS, n // 100_000))
         parts = parent.withColumn("_w", w).withColumn("_b", (F.col("_idx") % blocks).cast("int"))
         sums = {x["_b"]: x["s"] for x in parts.groupBy("_b").agg(F.sum("_w").alias("s")).collect()}  # one row a block
         total = sum(sums.values())
@@ -196,10 +238,11 @@ class Engine:
         for b in range(blocks):
             table.append((b, start))
             start += sums.get(b, 0.0)
-        offset = F.get(F.array(*[F.lit(s) for _, s in table]), F.col("_b"))
+        parts = parts.join(F.broadcast(self.spark.createDataFrame(table, "_b int, _start double")), "_b")  # one row a block
+        offset = F.col("_start")
         hi = F.sum("_w").over(Window.partitionBy("_b").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)) + offset
         row = F.struct(*[F.col(f"`{c.name}`") for c in self.spec.table(r.parent).columns]).alias(f"__p_{r.name}")
-        slices = max(1, min(1 << 20, self.spec.table(r.parent).row_count))
+        slices = max(1, min(1 << 40, n))
         cut = lambda x: F.least(F.floor(x / total * slices), F.lit(slices - 1)).cast("long")
         spans = parts.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col("_w")).filter("_w > 0").select(row, "_lo", "_hi", F.explode(F.sequence(cut(F.col("_lo")), cut(F.col("_hi")))).alias("_slice"))
         child = df.withColumn("_at", u * total).withColumn("_slice", cut(F.col("_at")))
@@ -212,26 +255,29 @@ class Engine:
         if r.max_depth is None:
             want = F.when(~root, F.lit(1) + F.floor(u * (F.col("_rid") - 1)))
         else:
-            # rows of a level are those with row ids congruent to it, so a parent is a smaller id one level up
-            levels = r.max_depth + 1
-            level = (F.col("_rid") - 1) % levels
-            earlier = F.floor((F.col("_rid") - 2) / levels) + 1
-            want = F.when(~root & (level > 0), (F.floor(u * earlier) * levels + level).cast("long"))
+            # a row that is no root has a level 1..max_depth by its id and takes an earlier row of the level above, which
+            # is at most that deep; one of level 1 takes an earlier root: a drawn row if that is one, else the first
+            levels = r.max_depth
+            at = F.col("_rid") - 2
+            drawn = (F.lit(1) + F.floor(u * (F.col("_rid") - 1))).cast("long")
+            is_root = uniform(str(self.settings.seed), t.name, f"root.{r.name}", drawn, portable=self.portable) < r.root_fraction
+            above = (at % F.lit(max(1, levels)) + 1 + levels * F.floor(u * (F.floor(at / max(1, levels)) + 1))).cast("long")
+            want = F.when(~root & F.lit(levels > 0), F.when(at % max(1, levels) > 0, above).otherwise(F.when(is_root, drawn).otherwise(F.lit(1))))
         return df.withColumn("_up", want.cast("long"))
 
     # columns
 
     def _value(self, c: ColumnSpec, t: TableSpec, known: dict[str, T.DataType], parents: dict[str, T.StructType]) -> Column:
-        kind = TYPES[c.dtype]
+        kind, attempt = TYPES[c.dtype], F.col("_attempt") if c.name in redrawn(t) else F.lit(0)
         if c.pii and c.pii_strategy == "faker" and not (c.generator or "").startswith("faker."):
             provider = providers.hint(c.name)
             if provider is None and c.dtype in ("int", "float"):
-                value = providers.number(Context(self.settings.seed, t.name, c.name, {}, portable=self.portable), 0, 9999, "n")
+                value = providers.number(Context(self.settings.seed, t.name, c.name, {}, attempt=attempt, portable=self.portable), 0, 9999, "n")
                 return (value / 100 if c.dtype == "float" else value).cast(kind)
             name, params = f"faker.{provider or 'word'}", {}
         else:
             name, params = resolve(c)
-        ctx = lambda p: Context(self.settings.seed, t.name, c.name, p, portable=self.portable, dtype=c.dtype, known=known, aliases=parents)
+        ctx = lambda p: Context(self.settings.seed, t.name, c.name, p, attempt=attempt, portable=self.portable, dtype=c.dtype, known=known, aliases=parents)
         schema = T.StructType([T.StructField(k, v) for k, v in known.items()])
         value = F.col(f"`_fk_{c.name}`") if name == "fk" else build(name, ctx(params)).cast(kind)
         for w in reversed(c.when):
@@ -239,7 +285,7 @@ class Engine:
         value = apply_pii(value, c)
         rate = c.constraints.get("null_rate", 0) or 0
         if c.nullable and rate > 0 and name != "conditional":
-            u = Context(self.settings.seed, t.name, c.name + ".null", {}, portable=self.portable).u()
+            u = Context(self.settings.seed, t.name, c.name + ".null", {}, attempt=attempt, portable=self.portable).u()
             value = F.when(u < float(rate), F.lit(None).cast(kind)).otherwise(value)
         return value
 
@@ -251,13 +297,26 @@ class Engine:
             for c in level:
                 if c.generator == "fk":
                     table, col = c.params["ref"].split(".", 1)
-                    n = self.spec.table(table).row_count
+                    n = self._rows(table)
+                    if not n:
+                        raise SpecError(f"{t.name}.{c.name}: {table} has no rows")
                     side = self._numbered(table).select(F.col("_idx").alias("_want"), F.col(f"`{col}`").alias(f"_fk_{c.name}"))
-                    df = df.withColumn("_want", F.floor(self._u(t, c.name, F.col("_attempt")) * n).cast("long")).join(side, "_want").drop("_want")
+                    df = df.withColumn("_want", F.floor(self._u(t, c.name, F.col("_attempt") if c.name in redrawn(t) else F.lit(0)) * n).cast("long")).join(side, "_want").drop("_want")
+                elif c.generator == "conditional" and len(c.params.get("keys") or []) > INLINE:
+                    df = self._looked_up(df, c, t)
             known = {f.name: f.dataType for f in df.schema.fields if not f.name.startswith(("__p_", "_fk_")) and f.name not in ("_rid", "_attempt", "_up")}
             df = df.withColumns({c.name: self._value(c, t, known, parents) for c in level})
         return df
 
+    def _looked_up(self, df: DataFrame, c: ColumnSpec, t: TableSpec) -> DataFrame:
+        """df with the distribution that a long conditional table has for the row's key, as _fk_<column>."""
+        keys, v, w = conditional_table(c.params, f"{t.name}.{c.name}")
+        kind = TYPES.get(c.dtype, T.StringType())
+        rows = [(k, [None if x is None else str(x) for x in vs], cs) for k, vs, cs in zip(keys, v, w)]
+        side = self.spark.createDataFrame(rows, "_key string, v array<string>, c array<double>").dropDuplicates(["_key"])
+        side = side.select("_key", F.struct(F.col("v").cast(T.ArrayType(kind)).alias("v"), "c").alias(f"_fk_{c.name}"))
+        return df.withColumn("_key", conditional_key(c.params)).join(side, "_key", "left").drop("_key")
+
     def _passes(self, df: DataFrame, t: TableSpec) -> Column:
         parents = {n[4:]: df.schema[n].dataType for n in df.columns if n.startswith("__p_")}
         plain = T.StructType([f for f in df.schema.fields if not f.name.startswith("__p_")])
@@ -282,7 +341,7 @@ class Engine:
             out = draw(ids.withColumn("_attempt", F.lit(0)))
         else:
             out = self._accepted(ids, draw, t, keys)
-        if self.settings.fallback == "drop" and t.rules:
+        if t.name in self.counts:
             out = self._renumbered(out, t)
         for r in t.relationships:
             if r.parent == t.name:
@@ -296,18 +355,20 @@ class Engine:
 
     def _renumbered(self, out: DataFrame, t: TableSpec) -> DataFrame:
         """Sequences count accepted rows: ids are dealt anew where rows were dropped."""
-        counts = out.groupBy(F.floor(F.col("_rid") / 4096).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row for each 4096 rows of the table
+        width = max(4096, -(-t.row_count // GROUPS))
+        group = F.floor(F.col("_rid") / width)
+        counts = out.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        w = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # at most GROUPS rows
         starts = counts.withColumn("s", F.coalesce(F.sum("n").over(w), F.lit(0))).select("g", "s")
         own = F.row_number().over(Window.partitionBy("_g").orderBy("_rid"))
-        out = out.withColumn("_g", F.floor(F.col("_rid") / 4096)).withColumn("_own", own).join(starts, F.col("_g") == F.col("g")).withColumn("_rid", F.col("s") + F.col("_own")).drop("g", "s", "_g", "_own")
+        out = out.withColumn("_g", group).withColumn("_own", own).join(F.broadcast(starts), F.col("_g") == F.col("g")).withColumn("_rid", F.col("s") + F.col("_own")).drop("g", "s", "_g", "_own")
         return out.withColumns({c.name: F.col("_rid").cast("long") for c in t.columns if c.generator == "sequence"})
 
     def _accepted(self, ids: DataFrame, draw: Callable[[DataFrame], DataFrame], t: TableSpec, keys: list[list[str]]) -> DataFrame:
         from ..sources.storage import checkpointed
 
         done: DataFrame | None = None
-        pending, attempt, each, most = ids, 0, self.each if t.rules else 1, max(1, self.settings.max_rule_attempts)
+        pending, attempt, each, most = ids, 0, self.each if t.rules else 1, max(1, self.settings.max_rule_attempts) if t.rules else UNIQUE_ATTEMPTS
         while attempt < most:
             step = min(each, most - attempt)
             tried = draw(pending.select("_rid", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + step - 1))).alias("_attempt")))
@@ -323,12 +384,17 @@ class Engine:
             got = checkpointed(tried)
             done = got if done is None else done.unionByName(got)
             pending = checkpointed(pending.join(got.select("_rid"), "_rid", "left_anti"))
-            if pending.isEmpty():
-                return done
+            self.written += [got, pending]
+            if pending.isEmpty() or not t.rules and attempt + step > 100 and got.isEmpty():
+                break
             attempt, each = attempt + step, min(64, each * 2)
+        left = pending.count()
+        if not left:
+            return done
         if self.settings.fallback == "raise":
-            raise RuleViolation(f"{t.name}: {pending.count()} rows broke the rules or keys in each of {most} attempts")
+            raise RuleViolation(f"{t.name}: {left} rows broke the rules or keys in each of {attempt} attempts")
         if self.settings.fallback == "drop":
+            self.counts[t.name] = t.row_count - left
             return done
         null = draw(pending.withColumn("_attempt", F.lit(most)))
         fk = {c for r in t.relationships for c in r.columns}

@@ -6,25 +6,22 @@ import hashlib
 import json
 import math
 import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import providers
+from ..functions.providers import PROVIDERS
+from ..functions.personal import id_like, name_tokens, personal
 from ..plans.spec import ColumnSpec, Relationship, Spec, TableSpec
 from . import discovery
 from .metrics import clean, number
 
-SAMPLE_ROWS, MIN_CELL, MOST_CATEGORIES, HISTOGRAM_BINS = 5000, 5, 500, 20
+MIN_CELL, MOST_CATEGORIES, HISTOGRAM_BINS = 5, 500, 50
 OTHER = "__other__"
 EMAIL, SSN, PHONE = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$", r"^\d{3}-\d{2}-\d{4}$", r"^\+?[\d(][\d\s().-]{6,}\d$"
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
-#: Name parts that mark a column as personal, and parts that mark its subject as no person.
-PERSONAL = {"email", "phone", "mobile", "fax", "ssn", "name", "firstname", "lastname", "surname", "street", "address", "zip", "zipcode", "postcode", "birth", "birthdate", "dob", "passport", "license", "plate", "vin", "iban", "ip", "mac", "username", "mrn", "latitude", "longitude"}
-NOT_A_PERSON = {"product", "company", "table", "file", "column", "brand", "item", "category", "department", "region", "nation", "country", "event", "model", "project", "host", "server", "type"}
-
-
 def suppress(counts: list[tuple], least: int = MIN_CELL, other: str = OTHER) -> tuple[list[tuple], int]:
     """Cells below `least` summed into `other`; if that sum is itself small, the smallest kept cell joins it. Returns cells and how many went."""
     kept = [c for c in counts if c[1] >= least]
@@ -42,39 +39,73 @@ def redaction(counts: list[tuple]) -> dict:
     return {v: f"value_{i + 1:03d}" for i, (v, _) in enumerate(order)}
 
 
-def name_tokens(name: str) -> list[str]:
-    return [t.lower() for t in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
-
-
-def personal_name(name: str) -> bool:
-    t = name_tokens(name)
-    return bool(set(t) & PERSONAL or "".join(t) in PERSONAL) and not set(t) & NOT_A_PERSON and (not t or t[-1] not in ("id", "key"))
+def two_hashes(c: Column) -> Column:
+    """128 bits of a value, so that long texts are not moved whole; null for null."""
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(1)).alias("b")))
 
 
-def facts(df: DataFrame) -> dict[str, dict]:
-    """Everything scalar about all columns in one aggregation."""
+def facts(df: DataFrame, exact: bool = True) -> dict[str, dict]:
+    """Everything scalar about all columns in one aggregation. exact: else numbers of distinct values are estimates."""
     aggs, cols = [F.count(F.lit(1)).alias("n")], df.schema.fields
     for i, f in enumerate(cols):
         c = clean(df, f.name)
-        aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}")]
+        distinct = F.approx_count_distinct(c, 0.02) if not exact else F.count_distinct(two_hashes(c) if isinstance(f.dataType, T.StringType) else c)
+        aggs += [F.count(c).alias(f"n{i}"), distinct.alias(f"d{i}")]
         if isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             x = number(df, f.name)
             log = F.when(x > 0, F.log(x))
-            aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.avg(log).alias(f"lm{i}"), F.stddev_samp(log).alias(f"ls{i}"), F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)).alias(f"w{i}"), F.min(c.cast("string")).alias(f"a{i}"), F.max(c.cast("string")).alias(f"b{i}")]
+            cents = F.bool_and(F.abs(x * 100 - F.round(x * 100)) < 1e-6)
+            aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.avg(log).alias(f"lm{i}"), F.stddev_samp(log).alias(f"ls{i}"), F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)).alias(f"w{i}"), F.coalesce(cents, F.lit(False)).alias(f"cents{i}")]
+            if not isinstance(f.dataType, T.NumericType):
+                aggs += [F.min(c).cast("string").alias(f"a{i}"), F.max(c).cast("string").alias(f"b{i}")]
         elif isinstance(f.dataType, T.StringType):
-            aggs += [F.avg(F.try_to_timestamp(c).isNotNull().cast("int") * (~c.rlike(r"^\d+$")).cast("int")).alias(f"t{i}"), F.avg(c.rlike(UUID).cast("int")).alias(f"u{i}"), F.min(F.length(c)).alias(f"lo{i}"), F.max(F.length(c)).alias(f"hi{i}"), F.max_by(c, F.length(c)).alias(f"long{i}"), F.avg(c.rlike(EMAIL).cast("int")).alias(f"e{i}"), F.avg(c.rlike(SSN).cast("int")).alias(f"ssn{i}"), F.avg((c.rlike(PHONE) & ~c.rlike(SSN)).cast("int")).alias(f"p{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
+            n = F.length(c)
+            has = lambda test, pattern: F.avg(F.when(c.isNotNull(), F.when(test, c.rlike(pattern)).otherwise(False).cast("int")))
+            stamp = F.when(F.substring(c, 1, 1).between("0", "9") & n.between(8, 40), F.try_to_timestamp(c).isNotNull() & ~c.rlike(r"^\d+$")).otherwise(False)
+            aggs += [F.avg(F.when(c.isNotNull(), stamp.cast("int"))).alias(f"t{i}"), has(n == 36, UUID).alias(f"u{i}"), F.min(n).alias(f"lo{i}"), F.max(n).alias(f"hi{i}"), F.max_by(F.substring(c, 1, 30), n).alias(f"long{i}")]
+            aggs += [has(c.contains("@"), EMAIL).alias(f"e{i}"), has(n == 11, SSN).alias(f"ssn{i}"), has(n.between(8, 32) & ((n != 11) | ~c.rlike(SSN)), PHONE).alias(f"p{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
     r = df.agg(*aggs).first().asDict()
     return {f.name: {"rows": r["n"], "type": f.dataType, **{re.sub(r"\d+$", "", k): v for k, v in r.items() if k != "n" and re.fullmatch(rf"[a-z]+{i}", k)}} for i, f in enumerate(cols)}
 
 
+def exact_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Exact numbers of distinct values, over hashes of 128 bits, in one aggregation."""
+    if not columns:
+        return {}
+    r = df.agg(*[F.count_distinct(two_hashes(clean(df, c))).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return {c: r[f"d{i}"] for i, c in enumerate(columns)}
+
+
+def all_frequencies(df: DataFrame, columns: list[str]) -> dict[str, list[tuple]]:
+    """The values of columns with few of them, as text, and their counts, the most frequent first: one aggregation over all columns."""
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), clean(df, c).cast("string").alias("v")) for i, c in enumerate(columns)]))
+    rows = df.select(cells.alias("c")).filter("c.v IS NOT NULL").groupBy("c.i", "c.v").agg(F.count(F.lit(1)).alias("n")).collect()  # few values a column
+    out: dict[str, list[tuple]] = {c: [] for c in columns}
+    for r in sorted(rows, key=lambda r: (-r["n"], r["v"])):
+        out[columns[r["i"]]].append((r["v"], r["n"]))
+    return out
+
+
+def histograms(df: DataFrame, wanted: dict[str, tuple[float, float, int]]) -> dict[str, tuple[list[float], list[float]]]:
+    """Equal-width edges and shares of values, the last bin closed, of columns with (low, high, bins): one aggregation."""
+    out = {c: ([lo, hi], [1.0]) for c, (lo, hi, _) in wanted.items() if hi <= lo}
+    todo = [c for c in wanted if c not in out]
+    if not todo:
+        return out
+    place = lambda c, lo, hi, bins: F.least(F.floor((number(df, c) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), place(c, *wanted[c]).alias("b")) for i, c in enumerate(todo)]))
+    got = {(r["i"], r["b"]): r["n"] for r in df.select(cells.alias("c")).filter("c.b IS NOT NULL").groupBy("c.i", "c.b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a bin
+    for i, c in enumerate(todo):
+        lo, hi, bins = wanted[c]
+        n = sum(v for (j, _), v in got.items() if j == i) or 1
+        out[c] = [lo + (hi - lo) * k / bins for k in range(bins + 1)], [got.get((i, k), 0) / n for k in range(bins)]
+    return out
+
+
 def histogram(df: DataFrame, c: str, lo: float, hi: float, bins: int = HISTOGRAM_BINS) -> tuple[list[float], list[float]]:
-    """Equal-width edges and shares of values."""
-    if hi <= lo:
-        return [lo, hi], [1.0]
-    at = F.least(F.floor((number(df, c) - lo) / (hi - lo) * bins), F.lit(bins - 1))
-    got = {r["b"]: r["count"] for r in df.select(at.alias("b")).dropna().groupBy("b").count().collect()}  # one row a bin
-    n = sum(got.values()) or 1
-    return [lo + (hi - lo) * i / bins for i in range(bins + 1)], [got.get(i, 0) / n for i in range(bins)]
+    return histograms(df, {c: (lo, hi, bins)})[c]
 
 
 def distribution(f: dict) -> dict:
@@ -103,14 +134,48 @@ def pattern_of(text: str) -> str:
 
 
 class Profiler:
-    """Profiles tables. All counts come from all rows; options say what the Spec may reveal."""
+    """Profiles tables, each in a few aggregations over all its columns. Options say what the Spec may reveal.
 
-    def __init__(self, min_cell: int = MIN_CELL, redact: bool = False, discover_fds: bool = False, condition_on_fds: bool = True, discover_keys: bool = True, detect_pii: bool = True, max_categories: int = 50):
+    Counts, nulls, keys and the cells that are suppressed come from all rows; with `sample`, shapes (moments, histograms,
+    shares of categories) come from that many rows, chosen by a hash of the row and the seed.
+    """
+
+    def __init__(self, min_cell: int = MIN_CELL, redact: bool = False, discover_fds: bool = False, condition_on_fds: bool = True, discover_keys: bool = True, detect_pii: bool = True, max_categories: int = 50, max_categorical_ratio: float = 0.05, sample: int | None = None, seed: int = 0, max_lhs: int = 3, fd_error: float = 0.0, personal: list[str] | None = None, not_personal: list[str] | None = None, pii_strategy: str = "faker"):
         if min_cell < 1:
             raise ValueError("min_cell must be at least 1")
+        if sample is not None and sample < 1:
+            raise ValueError("sample must be at least 1")
+        if max_categories < 1 or not 0 <= max_categorical_ratio <= 1:
+            raise ValueError("max_categories must be at least 1 and max_categorical_ratio between 0 and 1")
         self.min_cell, self.redact, self.discover_fds, self.condition, self.keys, self.pii, self.max_categories = min_cell, redact, discover_fds, condition_on_fds, discover_keys, detect_pii, max_categories
-
-    def column(self, df: DataFrame, c: str, f: dict) -> ColumnSpec | None:
+        self.ratio, self.sample, self.seed, self.max_lhs, self.error = max_categorical_ratio, sample, seed, max_lhs, fd_error
+        self.personal, self.not_personal, self.strategy = set(personal or ()), set(not_personal or ()), pii_strategy
+
+    def sampled(self, df: DataFrame, rows: int) -> DataFrame:
+        """Exactly `sample` rows, the same for a seed whatever the partitioning."""
+        if self.sample is None or rows <= self.sample:
+            return df
+        key = F.xxhash64(F.lit(self.seed), *[F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit("")) for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))])
+        return df.orderBy(key, *[f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType,))]).limit(self.sample)
+
+    def _categorical(self, f: dict) -> bool:
+        return f["d"] <= self.max_categories and f["d"] / f["n"] < 0.5 or f["d"] <= MOST_CATEGORIES and f["d"] / f["n"] <= self.ratio
+
+    def _facts(self, df: DataFrame) -> tuple[dict[str, dict], dict[str, list[tuple]]]:
+        """facts(), exact where a decision needs it, and the frequencies of columns with few values."""
+        got = facts(df, exact=False)
+        most = max(self.max_categories, MOST_CATEGORIES)
+        few = [c for c, f in got.items() if f["n"] and f["d"] <= 1.2 * most + 20 and not isinstance(f["type"], (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+        counts = all_frequencies(df, few)
+        for c, cells in counts.items():
+            got[c]["d"] = len(cells)
+        many = [c for c, f in got.items() if f["n"] and c not in counts and f["d"] >= 0.8 * f["n"] and not isinstance(f["type"], (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+        for c, d in exact_distinct(df, many).items():
+            got[c]["d"] = d
+        return got, counts
+
+    def column(self, c: str, f: dict, shape: dict, cells: list[tuple], shares: list[tuple], bars: tuple | None) -> ColumnSpec | None:
+        """f: facts of all rows; shape: of the sample; cells and shares: frequencies in both; bars: histogram."""
         if not f["n"]:
             return None
         kind, rows = f["type"], f["rows"]
@@ -127,10 +192,10 @@ class Profiler:
             if out.dtype == "int" and unique and f["hi"] - f["lo"] + 1 == f["n"] == rows:
                 out.generator, out.profile = "sequence", {}
                 return out
-            num = {k: f[v] for k, v in (("min", "lo"), ("max", "hi"), ("mean", "m"), ("std", "s"))} | distribution(f)
-            num["decimals"] = None if out.dtype == "int" else 2 if df.select(F.coalesce(F.bool_and(F.abs(number(df, c) * 100 - F.round(number(df, c) * 100)) < 1e-6), F.lit(False)).alias("x")).first()["x"] else None
-            if num["distribution"] == "empirical":
-                num["hist_edges"], num["hist_counts"] = histogram(df, c, f["lo"], f["hi"])
+            num = {k: shape[v] for k, v in (("min", "lo"), ("max", "hi"), ("mean", "m"), ("std", "s"))} | distribution(shape)
+            num["decimals"] = None if out.dtype == "int" else 2 if f["cents"] else None
+            if bars:
+                num["hist_edges"], num["hist_counts"] = bars
             out.profile["numeric"] = num
         elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             out.dtype = "date" if isinstance(kind, T.DateType) else "datetime"
@@ -141,97 +206,146 @@ class Profiler:
             out.dtype = "uuid"
         else:
             out.dtype = "str"
-            if f["d"] <= self.max_categories and f["d"] / f["n"] < 0.5 or f["d"] <= MOST_CATEGORIES and f["d"] / f["n"] <= 0.05:
-                cells, gone = suppress(frequencies(df, c, max(self.max_categories, MOST_CATEGORIES)), self.min_cell)
-                names = redaction(cells) if self.redact else {}
-                total = sum(n for _, n in cells)
-                out.profile["categorical"] = {"values": [names.get(v, v) for v, _ in cells], "weights": [round(n / total, 4) for _, n in cells], "rare": gone, "suppressed": gone, "redacted": self.redact}
+            if self._categorical(f):
+                kept, gone = suppress(cells, self.min_cell)
+                safe = {v for v, _ in kept}
+                if shares is not cells:  # the sample says how much, all rows say what may be shown
+                    kept, _ = suppress([(v, n) for v, n in shares if v in safe], 1)
+                    rest = sum(n for v, n in shares if v not in safe)
+                    kept += [(OTHER, rest)] if rest and gone else []
+                names = redaction(kept) if self.redact else {}
+                total = sum(n for _, n in kept) or 1
+                out.profile["categorical"] = {"values": [names.get(v, v) for v, _ in kept], "weights": [round(n / total, 4) for _, n in kept], "rare": gone, "suppressed": gone, "redacted": self.redact}
             else:
                 out.profile["length"] = {"min": f["lo"], "max": f["hi"]}
                 if f["hi"] <= 30:
                     out.profile["string_pattern"] = pattern_of(f["long"])
-        if self.pii:
-            self._personal(out, f)
+        self._personal(out, f)
         return out
 
     def _personal(self, c: ColumnSpec, f: dict) -> None:
+        """Marks a column as personal: by option, by its values, else by its name."""
+        if c.name in self.not_personal or not (self.pii or c.name in self.personal):
+            return
         value = next((p for k, p in (("e", "email"), ("ssn", "ssn"), ("p", "phone_number")) if (f.get(k) or 0) > 0.8), None)
-        if value or (c.dtype == "str" and personal_name(c.name)):
-            c.pii, c.pii_strategy, c.pii_detected_by = True, "faker", "value" if value else "name"
-            c.generator, c.params, c.profile = f"faker.{value or providers.hint(c.name) or 'word'}", {}, None
+        name = personal(c.name)
+        if c.name in self.personal or value or c.dtype == "str" and name:
+            c.pii, c.pii_strategy, c.pii_detected_by = True, self.strategy, "option" if c.name in self.personal else "value" if value else "name"
+            c.generator, c.params, c.profile = f"faker.{_provider(value or name)}", {}, None
             c.constraints.pop("unique", None)
 
     def table(self, df: DataFrame, name: str) -> TableSpec:
-        got = facts(df)
-        cols = [x for c in df.columns if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) and (x := self.column(df, c, got[c]))]
+        return self._table(df, name)[0]
+
+    def _table(self, df: DataFrame, name: str) -> tuple[TableSpec, dict[str, dict]]:
+        got, cells = self._facts(df)
         rows = next(iter(got.values()))["rows"] if got else 0
+        shape, shares = got, cells
+        few = self.sampled(df, rows)
+        if few is not df:
+            shape, shares = facts(few, exact=False), all_frequencies(few, list(cells))
+        empirical = lambda c, f: f["n"] and isinstance(f["type"], T.NumericType) and not isinstance(f["type"], T.BooleanType) and not (f["d"] == f["n"] == f["rows"] and f["w"] and f["hi"] - f["lo"] + 1 == f["n"]) and distribution(shape[c])["distribution"] == "empirical"
+        bars = histograms(few, {c: (shape[c]["lo"], shape[c]["hi"], min(HISTOGRAM_BINS, max(2, f["d"]))) for c, f in got.items() if empirical(c, f)})
+        flat = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+        cols = [x for c in flat if (x := self.column(c, got[c], shape[c], cells.get(c, []), shares.get(c, []) if shares is not cells else cells.get(c, []), bars.get(c)))]
         t = TableSpec(name=name, row_count=rows, columns=cols, metadata={"columns": signature(df)})
         if self.keys:
             self._choose_keys(df, t, got)
         if self.discover_fds:
-            flat = [c.name for c in cols if not c.pii]
-            usable = [c for c in discovery.discovery_columns(df) if c in flat]
-            t.metadata["dependencies"] = discovery.functional_dependencies(df, 1, columns=usable)[:50]
+            open_ = [c.name for c in cols if not c.pii]
+            usable = [c for c in open_ if got[c]["d"] / max(1, got[c]["rows"]) <= discovery.NEAR_KEY]
+            t.metadata["dependencies"] = discovery.functional_dependencies(df, self.max_lhs, self.error, columns=usable)[:50]
             if self.condition:
                 self._condition(df, t, usable)
-        return t
+        return t, got
 
     def _choose_keys(self, df: DataFrame, t: TableSpec, got: dict) -> None:
-        whole = [c for c in t.columns if not c.pii and got[c.name]["n"] == got[c.name]["rows"]]
+        """The primary key: one column before several, then names that say key, whole numbers and text, and order; other composite keys as unique constraints."""
+        whole = [c for c in t.columns if not c.pii and got[c.name]["n"] == got[c.name]["rows"] > 0]
         singles = [c for c in whole if got[c.name]["d"] == got[c.name]["n"]]
         if singles:
-            like = lambda c: name_tokens(c.name)[-1:] in (["id"], ["key"], ["custkey"]) or c.name.lower().endswith(("id", "key"))
-            t.primary_key = min(singles, key=lambda c: (not like(c), c.dtype not in ("int", "str"), t.columns.index(c))).name
-            return
-        sets = discovery.unique_columns(df, 2, [c.name for c in whole if c.dtype in ("int", "str", "date")][:12])
-        if sets:
-            best = min(sets, key=lambda s: (len(s), s))
-            t.primary_key = best if len(best) > 1 else best[0]
-            t.unique_constraints = [s for s in sets if s != best and len(s) > 1][:3]
+            t.primary_key = min(singles, key=lambda c: (not id_like(c.name), c.dtype not in ("int", "str", "uuid"), t.columns.index(c))).name
+        own = {c.name for c in singles}
+        rest = [c.name for c in whole if c.dtype in ("int", "str", "date", "uuid") and c.name not in own and got[c.name]["d"] > 1]
+        sets = discovery.composite_keys(df, rest, {c: got[c]["d"] for c in rest}, t.row_count, most=3 if singles else 4)
+        if sets and not singles:
+            t.primary_key, sets = sets[0], sets[1:]
+        t.unique_constraints = sets[:3]
 
     def _condition(self, df: DataFrame, t: TableSpec, usable: list[str]) -> None:
         names = [c.name for c in t.columns if c.name in usable and (c.profile or {}).get("categorical") and c.name not in t.key and not c.constraints.get("unique")]
-        edges = []
-        for a in names:
-            for b in names:
-                if a != b:
-                    g1, mu = discovery.dependency_measures(df, [a], b)
-                    if mu and mu >= 0.5:
-                        edges.append({"lhs": [a], "rhs": b, "g1": g1, "mu_prime": mu})
+        pairs = [(a, b) for a in names for b in names if a != b]
+        edges = [{"lhs": [a], "rhs": b, "g1": m["g1"], "mu_prime": m["mu_prime"]} for (a, b), m in discovery.pair_measures(df, pairs).items() if m["mu_prime"] >= 0.5]
         for e in discovery.dependency_forest(edges):
             c = t.column(e["dependent"])
             c.generator, c.params, c.depends_on = "conditional", conditional_params(df, e["determinant"], e["dependent"], self.min_cell), [e["determinant"]]
             c.provenance = {**discovery.provenance(e, t.row_count), "reversed": e["reversed"]}
 
     def profile_set(self, tables: dict[str, DataFrame]) -> Spec:
-        """Several tables with the foreign keys between them, by inclusion of values."""
-        spec = Spec(tables=[self.table(df, n) for n, df in tables.items()])
-        self._relationships(spec, tables)
+        """Several tables with the foreign keys between them: by inclusion of values, or by names where keys are not discovered."""
+        with ThreadPoolExecutor(4) as pool:  # the tables' jobs side by side
+            got = dict(zip(tables, pool.map(lambda x: self._table(x[1], x[0]), tables.items())))
+        spec = Spec(tables=[t for t, _ in got.values()])
+        self._relationships(spec, tables, {n: f for n, (_, f) in got.items()})
         return spec
 
     def profile(self, df: DataFrame, name: str = "table") -> Spec:
         return Spec(tables=[self.table(df, name)])
 
-    def _relationships(self, spec: Spec, tables: dict[str, DataFrame]) -> None:
+    def _relationships(self, spec: Spec, tables: dict[str, DataFrame], got: dict[str, dict]) -> None:
+        kind = lambda t, c: discovery.value_kind(tables[t].schema[c].dataType)
+        parents = [(t.name, t.key[0]) for t in spec.tables if len(t.key) == 1 and t.column(t.key[0])]
+        if not self.keys:
+            parents = [(t.name, c) for t in spec.tables if (c := named_key(t))]
+        children = [(t.name, c.name) for t in spec.tables for c in t.columns if not c.pii and t.key != [c.name]]
+
+        def possible(ct: str, cc: str, pt: str, pc: str) -> bool:
+            """Whether ranges and numbers of values, whose estimates are a few percent off, allow the child's values among the parent's."""
+            c, p = got[ct][cc], got[pt][pc]
+            if ct == pt or kind(ct, cc) != kind(pt, pc) or not c["n"] or c["d"] > 1.2 * p["d"]:
+                return False
+            lo, hi = ("a", "b") if kind(pt, pc) == "string" else ("lo", "hi")
+            return c.get(lo) is None or p.get(lo) is None or c[lo] >= p[lo] and c[hi] <= p[hi]
+
+        pairs = {(ct, cc, pt, pc) for ct, cc in children for pt, pc in parents if possible(ct, cc, pt, pc) and (self.keys or stem_of(cc) in names_of(pt))}
+        needed = sorted({x[:2] for x in pairs} | {x[2:] for x in pairs})
         found = []
-        for d in discovery.inclusion_dependencies(tables):
+        for d in discovery.inclusion_dependencies(tables, columns=needed) if needed else []:
             (ct, cc), (pt, pc) = d["child"].split(".", 1), d["parent"].split(".", 1)
-            child, parent = spec.table(ct), spec.table(pt)
-            if ct == pt or parent.key != [pc] or child.key == [cc] or child.column(cc) is None or child.column(cc).pii:
-                continue
-            if discovery.value_kind(tables[ct].schema[cc].dataType) == discovery.value_kind(tables[pt].schema[pc].dataType):
-                found.append((d["coverage"], bool(set(name_tokens(cc)) & set(name_tokens(pc))) or cc.split("_")[-1] == pc.split("_")[-1], ct, cc, pt, pc))
+            if (ct, cc, pt, pc) in pairs:
+                found.append((d["coverage"], bool(set(name_tokens(cc)) & set(name_tokens(pc))) or cc.split("_")[-1] == pc.split("_")[-1] or stem_of(cc) in names_of(pt), ct, cc, pt, pc))
         up: dict[str, set[str]] = {}
 
         def reaches(a: str, b: str) -> bool:
             return a == b or any(reaches(x, b) for x in up.get(a, ()))
 
-        for cov, named, ct, cc, pt, pc in sorted(found, key=lambda x: (-x[0], not x[1], x[2:])):
+        for cov, _, ct, cc, pt, pc in sorted(found, key=lambda x: (-x[0], not x[1], x[2:])):
             child = spec.table(ct)
             if any(cc in r.columns for r in child.relationships) or reaches(pt, ct):
                 continue
             up.setdefault(ct, set()).add(pt)
-            child.relationships.append(Relationship(source=cc, to=f"{pt}.{pc}", provenance={"algorithm": "inclusion", "measure": "coverage", "confidence": cov, "support": child.row_count}))
+            child.relationships.append(Relationship(source=cc, to=f"{pt}.{pc}", provenance={"algorithm": "inclusion" if self.keys else "name", "measure": "coverage", "confidence": cov, "support": child.row_count}))
+
+
+def _provider(name: str) -> str:
+    """The provider itself if there is one, else that of words."""
+    return name if name in PROVIDERS else "word"
+
+
+def stem_of(column: str) -> str:
+    """`customer` for `customer_id`, `customerId` or `customer_key`; nothing for other names."""
+    return "_".join(name_tokens(column)[:-1]) if id_like(column) else ""
+
+
+def names_of(table: str) -> set[str]:
+    """A table's name and its singular forms."""
+    whole = "_".join(name_tokens(table))
+    return {whole, whole.removesuffix("s"), whole.removesuffix("es"), whole.removesuffix("ies") + "y"} - {""}
+
+
+def named_key(t: TableSpec) -> str | None:
+    """The column that its name makes the key: `id`, or the table's name with id."""
+    return next((c.name for c in t.columns if id_like(c.name) and (stem_of(c.name) == "" or stem_of(c.name) in names_of(t.name)) and c.constraints.get("unique")), None)
 
 
 def conditional_params(df: DataFrame, on: str, dep: str, least: int = MIN_CELL, other: str = OTHER, decimals: int = 6) -> dict:
@@ -240,7 +354,11 @@ def conditional_params(df: DataFrame, on: str, dep: str, least: int = MIN_CELL,
     cell = by.select("k", F.when(F.col("n") >= least, F.col("v").cast("string")).otherwise(F.lit(other)).alias("v"), "n").groupBy("k", "v").agg(F.sum("n").alias("n"))
     share = F.round(F.col("n") / F.sum("n").over(Window.partitionBy("k")), decimals)
     rows = cell.select("k", "v", share.alias("w")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("c")).orderBy("k").collect()  # categories only
-    marginal, _ = suppress(frequencies(df, dep), least, other)
+    whole = df.select(F.col(f"`{dep}`").cast("string").alias("v")).dropna().groupBy("v").count()
+    small = F.col("count") < least
+    sums = whole.agg(F.sum(F.when(small, F.col("count"))).alias("n"), F.count_if(small).alias("k")).first()
+    marginal, _ = suppress([(r["v"], r["count"]) for r in whole.filter(~small).orderBy(F.desc("count"), "v").collect()], least, other)  # values of `least` rows or more
+    marginal += [(other, sums["n"])] if sums["k"] else []
     total = sum(n for _, n in marginal) or 1
     return {"on": on, "keys": [r["k"] for r in rows], "values": [[x["v"] for x in r["c"]] for r in rows], "weights": [[x["w"] for x in r["c"]] for r in rows], "default": {"values": [v for v, _ in marginal], "weights": [round(n / total, decimals) for _, n in marginal]}}
 
@@ -296,7 +414,7 @@ def merge_preserving_edits(old: Spec, new: Spec) -> tuple[Spec, dict[str, list[s
     """A fresh profile into which the edits of an older Spec are carried over.
 
     An old column counts as edited if its fingerprint no longer fits it, or is missing; edited columns, rules and
-    hand-made relationships stay; columns that left the data go unless edited.
+    hand-made relationships stay, and so do tables and columns that the data no longer has, reported as removed (orphaned where edited).
     """
     report: dict[str, list[str]] = {k: [] for k in ("added", "updated", "kept", "removed", "orphaned")}
     out = []
@@ -316,10 +434,14 @@ def merge_preserving_edits(old: Spec, new: Spec) -> tuple[Spec, dict[str, list[s
             if t.column(c.name) is None:
                 edited = (c.provenance or {}).get("fingerprint") != fingerprint({**c.write(), "provenance": None})
                 report["orphaned" if edited else "removed"].append(f"{t.name}.{c.name}")
-                cols += [c] if edited else []
+                cols.append(c)
         own = [r for r in was.relationships if not r.provenance]
         rest = [r for r in t.relationships if not any(r.columns == o.columns for o in own)]
         out.append(TableSpec(name=t.name, row_count=t.row_count, primary_key=was.primary_key or t.primary_key, metadata=t.metadata, columns=cols, unique_constraints=was.unique_constraints or t.unique_constraints, relationships=own + rest, rules=was.rules or t.rules))
+    for t in old.tables:
+        if new.table(t.name) is None:
+            out.append(t)
+            report["removed"].append(t.name)
     return Spec(tables=out, metadata=old.metadata or new.metadata, settings=old.settings, many_to_many=old.many_to_many), report
 
 

@@ -269,7 +269,7 @@ add("profile_numeric", profile_numeric, " UNION ALL ".join(f"SELECT '{c}' AS col
 
 def profile_histogram(spark, sf):
     df = table(spark, sf, "lineitem").select("l_quantity")
-    _, counts = profile.histogram(df, "l_quantity", 1.0, 50.0)
+    _, counts = profile.histogram(df, "l_quantity", 1.0, 50.0, 20)
     return spark.createDataFrame([(i, round(c, 6)) for i, c in enumerate(counts)], "bin long, share double")
 
 
