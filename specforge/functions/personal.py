@@ -15,7 +15,7 @@ city of birth = city; zip = zipcode; zip code = zipcode; zipcode = zipcode; post
 latitude = latitude; longitude = longitude; geo location = latitude; gps = latitude
 date of birth = date_of_birth; birth date = date_of_birth; birthdate = date_of_birth; birthday = date_of_birth; birth = date_of_birth; dob = date_of_birth; date of death = date_of_birth; death date = date_of_birth; admission date = date_of_birth; discharge date = date_of_birth
 phone = phone_number; telephone = phone_number; mobile = phone_number; cell phone = phone_number; cellphone = phone_number; tel = phone_number; fax = phone_number; pager = phone_number
-email = email; e mail = email; mail address = email
+email address = email; email = email; e mail = email; mail address = email
 ssn = ssn; social security = ssn; national insurance = ssn; national identity = ssn; tax number = ssn; sin number = ssn
 medical record = bothify; mrn = bothify; health plan = bothify; beneficiary number = bothify; member number = bothify; insurance number = bothify; policy holder = name
 account number = bban; account no = bban; bank account = bban; sort code = bban; routing number = bban; iban = iban; swift code = swift; credit card = credit_card_number; card number = credit_card_number; cvv = credit_card_number

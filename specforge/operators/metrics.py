@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spec import Spec
+from ..sources.storage import checkpointed, drop
 
 NAN = float("nan")
 #: Pairs of columns scored, and equal-width bins of a continuous column in a pair.
@@ -51,18 +52,37 @@ def _first(df: DataFrame, name: str = "value") -> float:
     return NAN if v is None else float(v)
 
 
+def _ranged(by: DataFrame, order: list[str], sums: list[str], groups: list[str] | None = None) -> DataFrame:
+    """by, dealt into ranges of `order` and written, with `p` (its range) and for each sum `c_<sum>`, cumulated over its group.
+
+    The ranges are written before their totals are taken, so both see the same ones; a total for each range and group meets on the driver.
+    """
+    groups = groups or []
+    parts = checkpointed(by.repartitionByRange(*groups, *order).withColumn("p", F.spark_partition_id()))
+    totals = parts.groupBy(*groups, "p").agg(*[F.sum(x).alias(x) for x in sums]).orderBy(*groups, "p").collect()
+    rows, acc, last = [], [0] * len(sums), None
+    for r in totals:
+        if (key := tuple(r[g] for g in groups)) != last:
+            acc, last = [0] * len(sums), key
+        rows.append((*key, r["p"], *acc))
+        acc = [x + r[k] for x, k in zip(acc, sums)]
+    kinds = ", ".join([*[f"g{i} {by.schema[g].dataType.simpleString()}" for i, g in enumerate(groups)], "q int", *[f"o_{x} long" for x in sums]])
+    offs = by.sparkSession.createDataFrame(rows, kinds)
+    run = Window.partitionBy(*groups, "p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(lambda a, b: a & b, [F.col(g) == F.col(f"g{i}") for i, g in enumerate(groups)], F.col("p") == F.col("q"))
+    cum = parts.withColumns({f"c_{x}": F.sum(x).over(run) for x in sums}).join(F.broadcast(offs), same)  # one row a range and group
+    return cum.withColumns({f"c_{x}": F.col(f"c_{x}") + F.col(f"o_{x}") for x in sums}).drop("q", *[f"g{i}" for i in range(len(groups))], *[f"o_{x}" for x in sums])
+
+
+def _gap(r: str, s: str, nr: str = "nr", ns: str = "ns") -> Column:
+    return F.abs(F.col(r) / F.nullif(F.col(nr), F.lit(0)) - F.col(s) / F.nullif(F.col(ns), F.lit(0)))
+
+
 def ks_frame(both: DataFrame) -> DataFrame:
     """One row `value`: 1 - the largest gap between the sides' distribution functions."""
-    by = both.groupBy("v").agg(F.sum(1 - F.col("side")).alias("r"), F.sum("side").alias("s"))
-    by = by.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    run = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    parts = by.groupBy("p").agg(F.sum("r").alias("pr"), F.sum("s").alias("ps"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offs = parts.select("p", F.coalesce(F.sum("pr").over(before), F.lit(0)).alias("or_"), F.coalesce(F.sum("ps").over(before), F.lit(0)).alias("os_"))
-    total = parts.agg(F.sum("pr").alias("nr"), F.sum("ps").alias("ns"))
-    cum = by.select("p", "v", F.sum("r").over(run).alias("cr"), F.sum("s").over(run).alias("cs")).join(F.broadcast(offs), "p").join(F.broadcast(total))
-    gap = F.abs((F.col("cr") + F.col("or_")) / F.nullif(F.col("nr"), F.lit(0)) - (F.col("cs") + F.col("os_")) / F.nullif(F.col("ns"), F.lit(0)))
-    return cum.agg((1 - F.max(gap)).alias("value"))
+    cum = _ranged(both.groupBy("v").agg(F.sum(1 - F.col("side")).alias("r"), F.sum("side").alias("s")), ["v"], ["r", "s"])
+    total = cum.agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"))
+    return cum.join(F.broadcast(total)).agg((1 - F.max(_gap("c_r", "c_s"))).alias("value"))  # one row
 
 
 def tv_frame(both: DataFrame, keys: tuple[str, ...] = ("v",)) -> DataFrame:
@@ -175,11 +195,8 @@ def correlation_frame(real: DataFrame, synth: DataFrame, a: str, b: str, method:
 
 def average_rank(df: DataFrame, k: str) -> DataFrame:
     """k and rank_k, the mean place of rows with that value."""
-    by = df.groupBy(k).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(k).withColumn("p", F.spark_partition_id())
-    parts = by.groupBy("p").agg(F.sum("n").alias("pn"))
-    offs = parts.select("p", F.coalesce(F.sum("pn").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    run = F.sum("n").over(Window.partitionBy("p").orderBy(k).rowsBetween(Window.unboundedPreceding, 0))
-    return by.select("p", k, "n", run.alias("c")).join(F.broadcast(offs), "p").select(k, (F.col("o") + F.col("c") - (F.col("n") - 1) / 2).alias(f"rank_{k}"))
+    cum = _ranged(df.groupBy(k).agg(F.count(F.lit(1)).alias("n")), [k], ["n"])
+    return cum.select(k, (F.col("c_n") - (F.col("n") - 1) / 2).alias(f"rank_{k}"))
 
 
 def correlation_similarity(real: DataFrame, synth: DataFrame, a: str, b: str, method: str = "pearson") -> float:
@@ -196,7 +213,11 @@ def _binned(d: DataFrame, c: str, edges: list[float] | None) -> Column:
 
 def bin_edges(real: DataFrame, c: str, bins: int = PAIR_BINS) -> list[float]:
     r = real.agg(F.min(number(real, c)).alias("a"), F.max(number(real, c)).alias("b")).first()
-    a, b = (r["a"], r["b"]) if r["a"] is not None else (0.0, 1.0)
+    return _edges(r["a"], r["b"], bins)
+
+
+def _edges(a: float | None, b: float | None, bins: int = PAIR_BINS) -> list[float]:
+    a, b = (a, b) if a is not None else (0.0, 1.0)
     if a == b:
         a, b = a - 0.5, b + 0.5
     return [a + (b - a) * i / bins for i in range(bins + 1)]
@@ -228,7 +249,7 @@ def infer_kinds(df: DataFrame, declared: dict[str, str] | None = None) -> dict[s
         elif isinstance(f.dataType, T.StringType):
             ask.append(f.name)
     if ask:
-        r = df.agg(*[x for i, c in enumerate(ask) for x in (F.count(f"`{c}`").alias(f"n{i}"), F.count_if(F.try_to_timestamp(F.col(f"`{c}`")).isNotNull() & ~F.col(f"`{c}`").rlike(r"^\d+$")).alias(f"d{i}"), F.count_distinct(f"`{c}`").alias(f"u{i}"))]).first()
+        r = df.agg(*[x for i, c in enumerate(ask) for x in (F.count(f"`{c}`").alias(f"n{i}"), F.count_if(F.when(F.substring(f"`{c}`", 1, 1).between("0", "9") & F.length(f"`{c}`").between(8, 40), F.try_to_timestamp(F.col(f"`{c}`")).isNotNull() & ~F.col(f"`{c}`").rlike(r"^\d+$")).otherwise(False)).alias(f"d{i}"), F.count_distinct(f"`{c}`").alias(f"u{i}"))]).first()
         for i, c in enumerate(ask):
             n, d, u = r[f"n{i}"], r[f"d{i}"], r[f"u{i}"]
             kinds[c] = "datetime" if n and d / n > 0.8 else "categorical" if n and u / n < 0.5 and u <= 50 else "text"
@@ -250,33 +271,100 @@ def mean(values: list[float]) -> float:
     return sum(known) / len(known) if known else NAN
 
 
+def _both(real: DataFrame, synth: DataFrame, pick) -> DataFrame:
+    return real.select(F.lit(0).alias("side"), *pick(real)).unionAll(synth.select(F.lit(1).alias("side"), *pick(synth)))
+
+
+def _nan(v) -> float:
+    return NAN if v is None else float(v)
+
+
+def marginals(real: DataFrame, synth: DataFrame, numbers: list[str], categories: list[str], texts: list[str]) -> tuple[dict, dict, dict]:
+    """Shapes and coverage of all columns, and length shapes of texts, from one aggregation of (column, value, side) and one over its ranges."""
+    names = [*numbers, *categories, *texts]
+    if not names:
+        return {}, {}, {}
+
+    def cells(df: DataFrame) -> list[Column]:
+        x = lambda c: number(df, c) if c in numbers else F.length(F.col(f"`{c}`").cast("string")).cast("double") if c in texts else F.lit(None).cast("double")
+        v = lambda c: clean(df, c).cast("string") if c in categories else F.lit(None).cast("string")
+        return [F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x(c).alias("x"), v(c).alias("v")) for i, c in enumerate(names)])).alias("e")]
+
+    by = _both(real, synth, cells).filter("e.x IS NOT NULL OR e.v IS NOT NULL").groupBy("e.i", "e.x", "e.v").agg(F.sum(1 - F.col("side")).alias("r"), F.sum("side").alias("s"))
+    cum = _ranged(by, ["x", "v"], ["r", "s"], ["i"])
+    totals = cum.groupBy("i").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns")).withColumnRenamed("i", "j")
+    x = lambda side, f: f(F.when(F.col(side) > 0, F.col("x")))
+    rows = cum.join(F.broadcast(totals), F.col("i") == F.col("j")).groupBy("i").agg(  # one row a column
+        (1 - F.max(_gap("c_r", "c_s"))).alias("ks"), (1 - 0.5 * F.sum(_gap("r", "s"))).alias("tv"),
+        F.try_divide(F.count_if((F.col("r") > 0) & (F.col("s") > 0)), F.count_if(F.col("r") > 0)).alias("cover"),
+        x("r", F.min).alias("a"), x("r", F.max).alias("b"), x("s", F.min).alias("c"), x("s", F.max).alias("d"),
+    )
+    got = {names[r["i"]]: r for r in rows.collect()}
+
+    def span(r) -> float:
+        if r is None or r["a"] is None or r["c"] is None or r["b"] == r["a"]:
+            return NAN
+        return max(0.0, 1 - (max(0.0, (r["c"] - r["a"]) / (r["b"] - r["a"])) + max(0.0, (r["b"] - r["d"]) / (r["b"] - r["a"]))))
+
+    value = lambda c, k: _nan(got[c][k]) if c in got else NAN
+    return {c: value(c, "ks" if c in numbers else "tv") for c in [*numbers, *categories]}, {c: span(got.get(c)) if c in numbers else value(c, "cover") for c in [*numbers, *categories]}, {c: value(c, "ks") for c in texts}
+
+
+def missing_values(real: DataFrame, synth: DataFrame, names: list[str]) -> dict[str, float]:
+    """missing_value_similarity of all columns in one aggregation."""
+    if not names:
+        return {}
+    rates = {r["side"]: r for r in _both(real, synth, lambda d: [clean(d, c).isNull().cast("double").alias(f"m{i}") for i, c in enumerate(names)]).groupBy("side").agg(*[F.avg(f"m{i}").alias(f"m{i}") for i in range(len(names))]).collect()}
+    return {c: 1 - abs(rates[0][f"m{i}"] - rates[1][f"m{i}"]) if len(rates) == 2 else NAN for i, c in enumerate(names)}
+
+
+#: Pairs of columns that one aggregation handles.
+PAIRS_A_JOB = 64
+
+
+def pair_trends(real: DataFrame, synth: DataFrame, pairs: list[tuple[str, str]], numbers: set[str]) -> dict[str, float]:
+    """correlation_similarity of pairs of numbers, contingency_similarity of others, with many pairs in one aggregation."""
+    out: dict[str, float] = {}
+    close = [p for p in pairs if p[0] in numbers and p[1] in numbers]
+    for some in [close[i : i + PAIRS_A_JOB] for i in range(0, len(close), PAIRS_A_JOB)]:
+        cols = sorted({c for p in some for c in p})
+        both = _both(real, synth, lambda d, cols=cols: [number(d, c).alias(f"x{i}") for i, c in enumerate(cols)])
+        at = {c: f"x{i}" for i, c in enumerate(cols)}
+        rho = {r["side"]: r for r in both.groupBy("side").agg(*[F.corr(at[a], at[b]).alias(f"p{i}") for i, (a, b) in enumerate(some)]).collect()}
+        for i, (a, b) in enumerate(some):
+            x, y = (_nan(rho[k][f"p{i}"]) if k in rho else NAN for k in (0, 1))
+            out[f"{a}|{b}"] = 1 - abs(x - y) / 2
+    mixed = [p for p in pairs if p not in set(close)]
+    binned = sorted({c for p in mixed for c in p} & numbers)
+    edges: dict[str, list[float]] = {}
+    if binned:
+        r = real.agg(*[f(number(real, c)).alias(f"{n}{i}") for i, c in enumerate(binned) for n, f in (("a", F.min), ("b", F.max))]).first()
+        edges = {c: _edges(r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(binned)}
+    for some in [mixed[i : i + PAIRS_A_JOB] for i in range(0, len(mixed), PAIRS_A_JOB)]:
+        cells = lambda d, some=some: [F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _binned(d, a, edges.get(a)).alias("v"), _binned(d, b, edges.get(b)).alias("w")) for i, (a, b) in enumerate(some)])).alias("e")]
+        by = checkpointed(_both(real, synth, cells).groupBy("e.i", "e.v", "e.w").agg(F.sum(1 - F.col("side")).alias("r"), F.sum("side").alias("s")))
+        total = by.groupBy("i").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns")).withColumnRenamed("i", "j")
+        got = {r["i"]: _nan(r["t"]) for r in by.join(F.broadcast(total), F.col("i") == F.col("j")).groupBy("i").agg((1 - 0.5 * F.sum(_gap("r", "s"))).alias("t")).collect()}  # one row a pair
+        drop(by)
+        out |= {f"{a}|{b}": got.get(i, NAN) for i, (a, b) in enumerate(some)}
+    return {f"{a}|{b}": out[f"{a}|{b}"] for a, b in pairs}
+
+
 def quality_report(real: DataFrame, synth: DataFrame, spec: Spec | None = None, table: str | None = None, seed: int = 0, most_pairs: int = MOST_PAIRS) -> dict:
     """Column shapes, pair trends, coverage, missing values and text, and their overall score; keys stay out."""
     declared, keys = spec_kinds(spec, table)
     skip = {c for k in keys for c in k}
     shared = [c for c in real.columns if c in synth.columns and c not in skip]
-    real, synth = real.select(*[f"`{c}`" for c in shared]).cache(), synth.select(*[f"`{c}`" for c in shared]).cache()
+    real, synth = real.select(*[f"`{c}`" for c in shared]), synth.select(*[f"`{c}`" for c in shared])
     kinds = infer_kinds(real, {k: v for k, v in declared.items() if k in shared})
-    shapes, coverage, missing, text = {}, {}, {}, {}
-    for c, k in kinds.items():
-        if k in ("numeric", "datetime"):
-            shapes[c], coverage[c] = ks_complement(real, synth, c), range_coverage(real, synth, c)
-        elif k in ("categorical", "boolean"):
-            shapes[c], coverage[c] = tv_complement(real, synth, c), category_coverage(real, synth, c)
-        else:
-            text[c] = min(text_length_complement(real, synth, c), text_character_complement(real, synth, c))
-        missing[c] = missing_value_similarity(real, synth, c)
-    names = [c for c, k in kinds.items() if k != "text"]
-    pairs = list(itertools.combinations(names, 2))
+    numbers, categories, texts = ([c for c, k in kinds.items() if k in of] for of in (("numeric", "datetime"), ("categorical", "boolean"), ("text",)))
+    pairs = list(itertools.combinations([c for c, k in kinds.items() if k != "text"], 2))
     if len(pairs) > most_pairs:
         pairs = sorted(random.Random(seed).sample(pairs, most_pairs))
-    edges = {c: bin_edges(real, c) for c in names if kinds[c] in ("numeric", "datetime") and any(c in p and kinds[p[0]] != kinds[p[1]] for p in pairs)}
-    trends = {}
-    for a, b in pairs:
-        both_numbers = kinds[a] in ("numeric", "datetime") and kinds[b] in ("numeric", "datetime")
-        trends[f"{a}|{b}"] = correlation_similarity(real, synth, a, b) if both_numbers else contingency_similarity(real, synth, a, b, {c: edges.setdefault(c, bin_edges(real, c)) for c in (a, b) if kinds[c] in ("numeric", "datetime")})
-    real.unpersist()
-    synth.unpersist()
+    shapes, coverage, lengths = marginals(real, synth, numbers, categories, texts)
+    missing = missing_values(real, synth, list(kinds))
+    text = {c: min(lengths[c], text_character_complement(real, synth, c)) for c in texts}
+    trends = pair_trends(real, synth, pairs, set(numbers))
     props = {"Column Shapes": mean(list(shapes.values())), "Column Pair Trends": mean(list(trends.values())), "Coverage": mean(list(coverage.values())), "Missing Values": mean(list(missing.values())), "Text": mean(list(text.values()))}
     return {"overall": mean([props["Column Shapes"], props["Column Pair Trends"]]), "properties": props, "columns": {c: {"kind": k, "shape": shapes.get(c), "coverage": coverage.get(c), "missing": missing.get(c), "text": text.get(c)} for c, k in kinds.items()}, "pairs": trends}
 

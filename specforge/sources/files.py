@@ -88,7 +88,7 @@ def inserts(t: TableSpec, df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit(head), F.concat_ws(", ", *vals), F.lit(");")).alias("value"))
 
 
-#: How CSV is written everywhere: quotes are doubled, blanks stay, empty text is told from null.
+#: How CSV is written everywhere: quotes are doubled, blanks stay, empty text is quoted; read() takes it for null.
 CSV = {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -189,7 +189,7 @@ class FolderSink:
 def publish(spark: SparkSession, out: str, fill: Callable[[str], None]) -> None:
     """Fill a staging folder beside out, then swap it in; what was there comes back if anything fails."""
     files, tag = Files(spark), uuid.uuid4().hex[:8]
-    stage, backup = f"{out}.staging-{tag}", f"{out}.backup-{tag}"
+    stage, backup = f"{out}-staging-{tag}", f"{out}-backup-{tag}"
     try:
         fill(stage)
         had = files.exists(out)

@@ -18,6 +18,9 @@ def stream_table(spark: SparkSession, spec: Spec, table: str, rows_per_second: i
     t = engine.spec.table(table)
     if t is None or t.relationships or t.rules:
         raise SpecError(f"{table}: only tables without relationships and rules can be streamed")
+    keys = [t.key, *t.unique_constraints, *[[c.name] for c in t.columns if c.constraints.get("unique")]]
+    if any(k and all(t.column(c).generator not in ("sequence", "uuid") for c in k) for k in keys):
+        raise SpecError(f"{table}: a stream cannot keep keys unique unless a sequence or uuid is part of them")
     rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
     ids = rate.select((F.col("value") + 1).alias("_rid"), F.lit(0).alias("_attempt"))
     return engine._columns(ids, t).select(*[f"`{c.name}`" for c in t.columns])
