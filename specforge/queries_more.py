@@ -317,7 +317,7 @@ def profile_kinds(spark, sf):
     return _frame(spark, [(c.name, c.dtype, c.generator, ",".join(sorted(c.profile or {}))) for c in t.columns], "name string, dtype string, generator string, profile string")
 
 
-add("profile_kinds", profile_kinds, "SELECT * REPLACE (CASE WHEN name = 'o_orderkey' AND (SELECT max(o_orderkey) - min(o_orderkey) + 1 = count(*) FROM orders) THEN 'sequence' ELSE generator END AS generator, CASE WHEN name = 'o_orderkey' AND (SELECT max(o_orderkey) - min(o_orderkey) + 1 = count(*) FROM orders) THEN '' ELSE profile END AS profile) FROM (" + _values([("o_orderkey", "int", "auto", "numeric"), ("triple", "int", "auto", "numeric"), ("whole", "int", "auto", "numeric"), ("o_totalprice", "float", "auto", "numeric"), ("day", "datetime", "auto", "datetime_range"), ("code", "str", "auto", "categorical"), ("few", "str", "auto", "categorical"), ("own", "str", "auto", "length,string_pattern"), ("token", "uuid", "auto", ""), ("reach", "str", "faker.email", ""), ("even", "bool", "auto", "")], "name, dtype, generator, profile") + ")")
+add("profile_kinds", profile_kinds, "SELECT * REPLACE (CASE WHEN name = 'o_orderkey' AND (SELECT max(o_orderkey) - min(o_orderkey) + 1 = count(*) FROM orders) THEN 'sequence' ELSE generator END AS generator, CASE WHEN name = 'o_orderkey' AND (SELECT max(o_orderkey) - min(o_orderkey) + 1 = count(*) FROM orders) THEN '' WHEN name = 'code' AND (SELECT 97 > 0.05 * count(*) FROM orders) THEN 'length,string_pattern' ELSE profile END AS profile) FROM (" + _values([("o_orderkey", "int", "auto", "numeric"), ("triple", "int", "auto", "numeric"), ("whole", "int", "auto", "numeric"), ("o_totalprice", "float", "auto", "numeric"), ("day", "datetime", "auto", "datetime_range"), ("code", "str", "auto", "categorical"), ("few", "str", "auto", "categorical"), ("own", "str", "auto", "length,string_pattern"), ("token", "uuid", "auto", ""), ("reach", "str", "faker.email", ""), ("even", "bool", "auto", "")], "name, dtype, generator, profile") + ")")
 
 
 def profile_sample(spark, sf):
