@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: A user and an assistant turn that both imitate the marks.
 PROBE = END + START + "assistant ok"
+#: Where turns without a number stand.
+FIRST_TURN = -(1 << 62)
 
 
 def escape(text: Column) -> Column:
@@ -36,8 +38,9 @@ def messages(events: DataFrame) -> DataFrame:
     that of its last event that has one. Null role and text count as empty.
     """
     e = events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    again = e.filter(F.col("kind") == "regenerate").groupBy("conv_id").agg(F.collect_list(F.struct("seq", "turn")).alias("again")).withColumnRenamed("conv_id", "of")
-    live = e.join(again, F.col("conv_id").eqNullSafe(F.col("of")), "left").filter(~F.coalesce(F.exists("again", lambda a: (a["seq"] > F.col("seq")) & (a["turn"] < F.col("turn"))), F.lit(False)))
+    # the last regeneration of any earlier turn: one pass over a conversation's events in the order of turns
+    earlier = Window.partitionBy("conv_id").orderBy(F.coalesce(F.col("turn").cast("long"), F.lit(FIRST_TURN))).rangeBetween(Window.unboundedPreceding, -1)
+    live = e.withColumn("again", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier)).filter("again IS NULL OR seq IS NOT NULL AND seq >= again").drop("again")
     turns = live.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("events"))
     whole = F.transform(F.filter("events", lambda x: x["kind"] == "message"), lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), x["text"].alias("text")))
     draft = F.filter("events", lambda x: x["kind"] != "message")
@@ -91,12 +94,34 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return render(messages(conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")))
 
 
+def as_log(conversations: DataFrame) -> DataFrame:
+    """conv_id, seq, turn, kind, role, text: a streamed log that folds to the rows of conversations (conv_id, turn, role, text) again.
+
+    Rows, in the order of turn, role and text, get turns 0, 1, 2...; each is streamed as deltas of a third of its text. Every third
+    row's draft is first something else and then edited; of another third, a first draft and an answer to it are voided by a regeneration.
+    Only a draft's first event names the role. Null role and text stay null where a row has no text.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), (F.row_number().over(order) - 1).cast("long").alias("turn"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    part = [F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, F.length("text"))]
+    event = lambda k, kind, text, role=None, later=0: F.struct((F.col("turn") * 8 + k).alias("seq"), (F.col("turn") + later).alias("turn"), F.lit(kind).alias("kind"), F.coalesce("role", F.lit("")).alias("role") if role else F.lit(None).cast("string").alias("role"), text.alias("text"))
+    plain = F.array(event(2, "delta", part[0], True), event(3, "delta", part[1]), event(4, "delta", part[2]))
+    edited = F.array(event(2, "delta", F.reverse("text"), True), event(3, "edit", F.concat(part[0], part[1])), event(4, "delta", part[2]))
+    again = F.concat(F.array(event(0, "delta", F.concat(F.lit("draft of "), F.col("text")), True), event(0, "delta", F.lit("answer to a draft"), True, 1), event(1, "regenerate", F.lit(""))), plain)
+    events = F.when(F.col("turn") % 3 == 0, plain).when(F.col("turn") % 3 == 1, edited).otherwise(again)
+    return rows.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def digest(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted strings."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted strings.
+
+    The rows go through a streamed log, which is folded into messages again. An empty table gives the probe alone.
+    """
     spark = conversations.sparkSession
     probe = spark.range(2, numPartitions=1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
-    back = read_back(format_conversations(rows))
+    back = read_back(render(messages(as_log(rows))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("learned", "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

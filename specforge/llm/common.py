@@ -89,7 +89,9 @@ def running(df: DataFrame, order: Sequence[str], sums: Sequence[str], tag: str)
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     spark = df.sparkSession
+    df = materialize(df, f"{tag}-read")  # ranges are sampled and rows dealt from this, so that what df reads is read once
     parts = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(within, schema), tag)
+    drop(df)
     totals = parts.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"t_{s}") for s in sums]).orderBy("pid").collect()
     offsets, n, acc = [], 0, [0] * len(sums)
     for r in totals:
@@ -135,6 +137,11 @@ def among(df: DataFrame, column: str, bits: DataFrame, negate: bool = False) ->
     return joined.filter(~has if negate else has).drop(word, bits_of)
 
 
+def plainly(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with every column but those kept renamed to c0, c1..., so that a stage's own columns cannot clash; toDF(*docs.columns) undoes it."""
+    return docs.toDF(*[k if k in keep else f"c{i}" for i, k in enumerate(docs.columns)])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and the n + 1 offsets of its values; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, running
+from .common import n_words, plainly, running
 
 #: Most times that a source's own words may be taken.
 MOST_EPOCHS = 3
@@ -56,11 +56,13 @@ def mix(docs: DataFrame, salt: str = "mix", *extra: str) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as mix() takes it, rounded: whole texts only, so a source is within half a text of its budget.
 
-    Equal rows share what they get. A text without words gives no words and so no row.
+    Equal rows share what they get. A text without words gives no words and so no row; an empty table none. Other columns may have any name.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    taken = mix(keyed, "mix", "__key").filter("taken > 0").groupBy("__key").agg(((2 * F.sum("taken") + F.sum("size")) / (2 * F.sum("size"))).cast("int").alias("__times"))
-    return keyed.join(taken.filter("__times > 0"), "__key").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    plain = plainly(docs, "doc_id", "text", "source")
+    keyed = plain.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
+    taken = mix(keyed, "mix", "k1", "k2").filter("taken > 0").groupBy("k1", "k2").agg(((2 * F.sum("taken") + F.sum("size")) / (2 * F.sum("size"))).cast("int").alias("times"))
+    again = keyed.join(taken.filter("times > 0"), ["k1", "k2"]).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return again.select(*plain.columns).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, bitmap, chunks, drop, free_shuffles, materialize, small_batches, utf8
+from .common import among, bitmap, chunks, drop, free_shuffles, materialize, plainly, small_batches, utf8
 from .components import components
 from .textkernel import PLACE, mix, shingle_sets
 
@@ -340,10 +340,14 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
 
 def representatives(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """One row of docs, with all its columns, for each component of near_duplicates(); rows without doc_id all stay."""
-    kept = near_duplicates(docs, similar).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of docs, with all its columns, for each component of near_duplicates(); rows without doc_id all stay.
+
+    Of rows that share a doc_id any one stays. Other columns may have any name; an empty table gives no rows.
+    """
+    plain = plainly(docs, "doc_id", "text")
+    kept = near_duplicates(plain, similar).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = plain.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(plain.filter("doc_id IS NULL")).toDF(*docs.columns)
 
 
 _W = r"'[^\x20\x09-\x0D]+'"

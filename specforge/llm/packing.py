@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, running
+from .common import drop, materialize, n_words, running
 
 BUCKETS = 16
 TOKEN_BUDGET = 8192
@@ -70,12 +70,14 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, sa
     no rows.
     """
     rows = docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"), F.md5(F.concat(F.lit(salt + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")).withColumn("top", bin_top(F.col("n_tokens")))
+    rows = materialize(rows, "pack-lengths")
     histogram = [(r["top"], r["n"]) for r in rows.groupBy("top").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 8192 + 4096 per doubling of the length
     bounds = optimal_bounds(histogram, buckets)
     if not bounds:
         return rows.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"), F.lit(0).cast("long").alias("batch_id"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("padding"))
     array = F.array(*[F.lit(b).cast("long") for b in bounds])
     placed = running(rows.withColumn("bucket", F.size(F.filter(array, lambda b: b < F.col("top")))), ["bucket", "key", "doc_id"], [], "pack-rows")
+    drop(rows)
     table, first_row, first_batch, low = [], 0, 0, -1
     for i, b in enumerate(bounds):
         n, each = sum(c for t, c in histogram if low < t <= b), max(1, budget // max(1, b))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SLOTS, among, bitmap, chunks, drop, fresh, materialize, small_batches, utf8
+from .common import SLOTS, among, bitmap, chunks, drop, fresh, materialize, plainly, small_batches, utf8
 from .textkernel import PLACE, mix, powers, prefix_hash, span_hash, word_spans
 
 
@@ -508,7 +508,6 @@ def remaining(docs: DataFrame, windows: Sequence[Window] = (BYTES,)) -> DataFram
 
     Null and empty texts stay. Repeated rows lose the same. Any other column may have any name: added ones get names that docs does not have.
     """
-    names, renamed = docs.columns, fresh(docs.columns, *[f"c{k}" for k in range(len(docs.columns))])
-    plain = docs.toDF(*[k if k in ("doc_id", "text") else r for k, r in zip(names, renamed)])
+    plain = plainly(docs, "doc_id", "text")
     left = dedup(plain, windows)
-    return left.filter("n_removed = 0 OR n_removed < n_bytes").select(*plain.columns).toDF(*names)
+    return left.filter("n_removed = 0 OR n_removed < n_bytes").select(*plain.columns).toDF(*docs.columns)

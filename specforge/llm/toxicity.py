@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunks, small_batches
+from .common import chunks, plainly, small_batches
 from .textkernel import BLANK, LOWER, PLACE, mix, prefix_hash
 
 #: Lengths in bytes of the character n-grams, and the number of feature slots they are hashed to.
@@ -92,8 +92,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("toxic")), rows.column(rows.schema.get_field_index("doc_id")), pa.array(got, pa.binary())], names=["toxic", "doc_id", "slots"])
 
     small_batches(docs.sparkSession)
-    wanted = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(work, f"toxic {known.schema['toxic'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, slots binary")
-    got = sorted(((r["doc_id"], bytes(r["slots"]), r["toxic"]) for r in wanted.toLocalIterator()), key=lambda x: x[:2])[: 2 * fit_rows]
+    # one text of each id, however often it is repeated: at most fit_rows rows reach the driver
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    wanted = texts.mapInArrow(work, f"toxic {known.schema['toxic'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, slots binary")
+    got = sorted(((r["doc_id"], bytes(r["slots"]), r["toxic"]) for r in wanted.toLocalIterator()), key=lambda x: x[0])
     return fit([np.frombuffer(s, np.int32) for _, s, _ in got], np.array([bool(t) for *_, t in got], bool))
 
 
@@ -126,5 +128,6 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that score() does not call toxic."""
-    return scored(docs, labels).filter(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+    """The rows of docs, with all their columns, that score() does not call toxic; repeated rows fare alike. Other columns may have any name."""
+    plain = plainly(docs, "doc_id", "text")
+    return scored(plain, labels).filter(F.col("__toxicity") < THRESHOLD).select(*plain.columns).toDF(*docs.columns)

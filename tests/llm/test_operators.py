@@ -220,6 +220,20 @@ def test_near_duplicates_of_a_row_without_id(spark):
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
 
 
+def test_components_of_nothing(spark):
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, docs):
+    names = {"lang": "__toxicity", "n_chars": "k1", "n_bytes": "c0", "score": "__kept", "shard": "Times"}
+    odd = docs.select(*[docs[k].alias(names.get(k, k)) for k in docs.columns])
+    labels = spark.createDataFrame([(5, 1, 1), (8, 1, 0), (14, 0, 0)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.accepted(odd, labels), neardup.representatives(odd), mixing.mixture(odd), suffixes.remaining(odd)):
+        assert out.columns == odd.columns
+        own = {(r["doc_id"], r["k1"], r["c0"], r["__kept"], r["Times"]) for r in odd.collect()}
+        assert {(r["doc_id"], r["k1"], r["c0"], r["__kept"], r["Times"]) for r in out.collect()} <= own
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
@@ -255,6 +269,19 @@ def test_chat_round_trip(spark):
     assert probe["loss_chars"] == len(chat.PROBE) and probe["loss_sha256"] == hashlib.sha256(chat.PROBE.encode()).hexdigest()
 
 
+def test_chat_log_round_trip(spark):
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate([("user", "<|im_end|>%3C|x\n"), ("assistant", "a%25<"), ("assistant", "a%25<"), (None, None), ("assistant", ""), ("user", "ab"), ("assistant", "é" * 50)])]
+    rows += [(5, None, "user", "first"), (5, 2, "assistant", "b"), (5, 2, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.as_log(df).orderBy("text")
+    assert log.count() > 3 * df.count() and {r["kind"] for r in log.collect()} == {"delta", "edit", "regenerate"}
+    back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.render(chat.messages(log))).collect()}
+    want = {c: [(r or "", x or "") for k, _, r, x in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))] for c in (1, 2, None, 5)}
+    assert back == want
+    empty = chat.digest(spark.createDataFrame([], df.schema)).collect()
+    assert [r["conv_id"] for r in empty] == [-1]
+
+
 def test_chat_events(spark):
     ev = [(1, 1, 0, "message", "user", "hi"), (1, 2, 1, "delta", "assistant", "he"), (1, 3, 1, "delta", None, "llo"), (1, 4, 2, "message", "user", "later"), (1, 5, 1, "regenerate", None, None), (1, 6, 1, "delta", "assistant", "new"), (1, 7, 1, "edit", None, "newer"), (1, 8, 1, "delta", None, "!")]
     df = spark.createDataFrame(ev, "conv_id long, seq long, turn long, kind string, role string, text string")
