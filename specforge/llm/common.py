@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: Words are runs of anything but the ASCII blanks; Java regex form.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python code handles at once; a longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """STEP ** i and STEP ** -i modulo 2 ** 64 for i in 0..n."""
     if len(_powers["up"]) <= n:
-        m = 1 << int(n).bit_length()
+        m = (int(n) // (1 << 18) + 1) << 18
         for name, base in (("up", STEP), ("down", STEP_INVERSE)):
             f = np.full(m + 1, base, np.uint64)
             f[0] = 1

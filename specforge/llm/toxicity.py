@@ -43,23 +43,31 @@ def features(text: np.ndarray, stamp: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slot weights and bias: logistic regression on binary features times r / sqrt(number of features), r the log-count ratio."""
+    """Slot weights and bias: logistic regression on binary features times r / sqrt(number of features), r the log-count ratio.
+
+    rows (distinct slots of each text, 32 bits each) is emptied: only slots whose feature counts are kept.
+    """
     n = len(rows)
     if not n or toxic.all() or not toxic.any():
         rate = (toxic.sum() + 0.5) / (n + 1)
         return np.zeros(SLOTS, np.float32), float(np.log(rate / (1 - rate)))
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    pos = np.bincount(flat[toxic[owner]], minlength=SLOTS).astype(np.float64)
-    both = np.bincount(flat, minlength=SLOTS)
+    pos, both = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    for slots, bad in zip(rows, toxic):
+        both[slots] += 1
+        if bad:
+            pos[slots] += 1
     p, q = (pos + 1) / (toxic.sum() + 2), (both - pos + 1) / ((~toxic).sum() + 2)
     ratio = np.log(p / q)
     use = (both >= SEEN) & (np.abs(ratio) >= RATIO)
-    keep = use[flat]
-    col, own = (np.cumsum(use) - 1)[flat[keep]], owner[keep]
-    r = ratio[use]
-    val = r[col] / np.sqrt(np.maximum(1, sizes))[own]
+    place = (np.cumsum(use) - 1).astype(np.int32)
+    sizes, cols = np.array([len(x) for x in rows]), []
+    for slots in rows[::-1]:
+        rows.pop()
+        cols.append(place[slots[use[slots]]])
+    cols.reverse()
+    own, col, r = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols), ratio[use]
+    del cols, place, pos, p, q, both
+    val = (r[col] / np.sqrt(np.maximum(1, sizes))[own]).astype(np.float32)
     y = toxic.astype(np.float64)
     w, bias = np.zeros(len(r)), float(np.log(y.mean() / (1 - y.mean())))
     # full-batch steps, each coordinate scaled by its gradients' running size
@@ -96,7 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     wanted = texts.mapInArrow(work, f"toxic {known.schema['toxic'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, slots binary")
     got = sorted(((r["doc_id"], bytes(r["slots"]), r["toxic"]) for r in wanted.toLocalIterator()), key=lambda x: x[0])
-    return fit([np.frombuffer(s, np.int32) for _, s, _ in got], np.array([bool(t) for *_, t in got], bool))
+    toxic, rows = np.array([bool(t) for *_, t in got], bool), [np.frombuffer(s, np.int32) for _, s, _ in got]
+    del got
+    return fit(rows, toxic)
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
