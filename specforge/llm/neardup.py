@@ -4,7 +4,9 @@ A document's sketch is the bottom k of its shingles' hashes, with k = n - ceil(t
 two sets of Jaccard similarity t or more must share a value of their sketches, so inverted lists of the retained values
 meet every link. Values held by many documents are ordered last, the commonest after all others (any fixed order keeps
 that guarantee), which keeps common passages out of the sketches of documents that have enough of their own. Where two
-sketches first meet, the values that either set has from there on bound what both can share.
+sketches first meet, the values that either set has from there on bound what both can share. Of the pairs left, a second,
+short bottom-k sketch under the hash order alone estimates the similarity (the share of the union's bottom k that both
+have), and full sets verify it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ LOCAL, COMMON, MOST_COMMON = 2, 6, 2_000_000
 #: Bits of a set's signature: the parity of how many of its hashes fall to each bit. Signatures differ in at most as many
 #: bits as the sets differ in shingles, so a pair whose signatures differ in more than a link allows is none.
 SIGNATURE = 256
+#: Values of a set's bottom-k sketch under the plain hash order, of which the estimate of a pair's similarity is made, in 32 bits each,
+#: and how far below the least similarity an estimate may be: over 8 standard deviations for sets of more values, while
+#: smaller sets are their own sketches and compared exactly.
+LOWEST, SLACK = 128, 0.3
 #: Pairs that a task holds before it drops repeated ones and passes them on.
 PAIRS_HELD = 2_000_000
 
@@ -80,6 +86,30 @@ def most_different(n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
     return n + m - 2 * least_shared(n, m, similar)
 
 
+def lowest(s: np.ndarray) -> bytes:
+    """The bottom-k sketch of a sorted set of hashes, by their upper halves, which keep the order."""
+    return (s[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def estimates(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray, similar: int) -> np.ndarray:
+    """Whether pairs may be similar by their sketches: the share of the union's bottom k that both have, k the shorter sketch's length."""
+    width = 2 * LOWEST
+    both = np.full((len(a), width), np.iinfo(np.uint64).max, np.uint64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        both[i, : len(x)] = x
+        both[i, LOWEST : LOWEST + len(y)] = y
+    both.sort(axis=1)
+    known = both != np.iinfo(np.uint64).max
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & known[:, 1:]  # a value that both sketches have stands there twice
+    rank = np.cumsum(known & ~again, axis=1)
+    k = np.minimum(np.array([len(x) for x in a]), np.array([len(y) for y in b]))
+    whole = (n <= LOWEST) & (m <= LOWEST)
+    shared = again.sum(1)
+    among = (again & (rank <= k[:, None])).sum(1)
+    return np.where(whole, 100 * shared >= similar * (n + m - shared), among >= (similar / 100 - SLACK) * k)
+
+
 def _signatures(column: pa.Array) -> np.ndarray:
     data, _ = utf8(column)
     return data.reshape(len(column), SIGNATURE // 8).view(np.uint64)
@@ -107,7 +137,7 @@ def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, levels), seen = shared.value, set()
         for rows, data, offs in chunks(batches, "text"):
-            n, d1, d2, sketch, sign = [], [], [], [], []
+            n, d1, d2, sketch, sign, low = [], [], [], [], [], []
             nameless = rows.column(0).is_null().to_pylist()
             for s, null in zip(shingle_sets(data, offs, SHINGLE), nameless):
                 n.append(len(s))
@@ -115,6 +145,7 @@ def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: i
                 d1.append(key[0])
                 d2.append(key[1])
                 sign.append(signature(s))
+                low.append(lowest(s))
                 if not len(s) or null or key in seen:
                     sketch.append(None)
                     continue
@@ -123,10 +154,10 @@ def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: i
                 seen.add(key)
                 k = len(s) - -(-similar * len(s) // 100) + 1
                 sketch.append(s[np.argsort(_levels(s, table, levels), kind="stable")[:k]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(sign, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch", "sign"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(sign, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch", "sign", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, d1 long, d2 long, sketch array<long>, sign binary")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, d1 long, d2 long, sketch array<long>, sign binary, low binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -231,16 +262,19 @@ def _rest(lists: DataFrame, similar: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The distinct pairs (a, b, k) whose signatures allow a link."""
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"sign_{k}"))
+    """The distinct pairs (a, b, k) whose signatures allow a link and whose union sketches make one likely enough."""
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"sign_{k}"), F.col("low").alias(f"low_{k}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             n, m = (r.column(k).to_numpy() for k in (3, 4))
             ok = np.bitwise_count(_signatures(r.column(5)) ^ _signatures(r.column(6))).sum(1) <= most_different(n, m, similar)
+            at = np.flatnonzero(ok)
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint32) for v in r.column(c).take(pa.array(at))] for c in (7, 8))
+            ok[at] = estimates(x, y, n[at], m[at], similar)
             yield r.select(["a", "b", "k"]).filter(pa.array(ok))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "k", "n_a", "n_b", "sign_a", "sign_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "k", "n_a", "n_b", "sign_a", "sign_b", "low_a", "low_b")
     return both.mapInArrow(work, "a long, b long, k long").distinct()
 
 
@@ -305,7 +339,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     same = materialize(same, "same-sets")
     lists = materialize(_lists(sets, similar), "lists")
     known = same.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    signs = sets.select("doc_id", "n", "sign")
+    signs = sets.select("doc_id", "n", "sign", "low")
     ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     pivots = lists.select("doc_id", F.explode(F.array_distinct("pivots")).alias("pivot")).filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("k"))
     star = materialize(_possible(pivots.select(*ordered("doc_id", "pivot"), "k").groupBy("a", "b").agg(F.max("k").alias("k")).join(known, ["a", "b"], "left_anti"), signs, similar), "star-pairs")
@@ -323,7 +357,8 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     placed = label.join(same.select(F.col("a").alias("id"), F.lit(True).alias("copy")).distinct(), "id", "left")
     named = lists.filter("whole").join(signs.select("doc_id", "sign"), "doc_id").join(placed, F.col("doc_id") == placed["id"], "left").filter("copy IS NULL").select("value", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"), "sign")
     tested = star.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs = materialize(_rest(named, similar).join(tested, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = _rest(named, similar).join(tested, ["a", "b"], "left_anti")
+    pairs = materialize(_possible(rest.withColumn("k", F.lit(1).cast("long")), signs, similar).select("a", "b"), "rest-pairs")
     drop(lists, star)
     if pairs.isEmpty():
         final = label

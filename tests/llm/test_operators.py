@@ -203,6 +203,28 @@ def test_near_duplicates(spark, monkeypatch, common):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_union_sketches_lose_no_link():
+    r = np.random.default_rng(2)
+    sets, kept, apart = [], 0, 0
+    for size in (3, 20, 127, 128, 129, 400, 3000):
+        for share in (0.8, 0.85, 0.9, 0.97, 1.0, 0.3, 0.1):
+            for _ in range(40):
+                same = round(share * size)
+                own = (size - same) // 2
+                values = r.integers(0, 1 << 63, same + 2 * own + 2, dtype=np.uint64) * np.uint64(2)
+                sets.append((np.unique(values[: same + own]), np.unique(np.concatenate([values[:same], values[same + own : same + 2 * own]]))))
+    for x, y in sets:
+        shared = len(np.intersect1d(x, y))
+        a, b = (np.frombuffer(neardup.lowest(z), np.uint32) for z in (x, y))
+        ok = neardup.estimates([a], [b], np.array([len(x)]), np.array([len(y)]), 80)[0]
+        if 100 * shared >= 80 * (len(x) + len(y) - shared):
+            kept += 1
+            assert ok
+        elif shared < 0.35 * (len(x) + len(y) - shared):
+            apart += not ok
+    assert kept > 500 and apart > 0.95 * 7 * 40 * 2 * 0.9
+
+
 def test_near_duplicates_edges(docs):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
