@@ -232,6 +232,56 @@ def _distinct(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)])], names=["a", "b"])
 
 
+def _sorted(lists: DataFrame) -> DataFrame:
+    return lists.repartition("value").sortWithinPartitions("value", "size", "doc_id")
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The rows of lists whose documents are of several components."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _runs(batches, "value"):
+            if not len(c["value"]):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], c["value"][1:] != c["value"][:-1]]))
+            several = np.minimum.reduceat(c["component"], first) != np.maximum.reduceat(c["component"], first)
+            keep = np.flatnonzero(np.repeat(several, np.diff(np.concatenate([first, [len(c["value"])]]))))
+            sign = pa.array([x.tobytes() for x in c["sign"][keep]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[k][keep]) for k in ("value", "doc_id", "size")], sign], names=["value", "doc_id", "size", "sign"])
+
+    return _sorted(lists).mapInArrow(work, "value long, doc_id long, size long, sign binary")
+
+
+#: Neighbours in a list, in the order of size, of which a document is paired with the one of another component that looks most alike;
+#: and at most how often, before what is still apart is compared in full.
+NEIGHBOURS, ROUNDS = 64, 4
+
+
+def _nearest(lists: DataFrame, similar: int) -> DataFrame:
+    """At most a pair for each document and list: that with the nearest signature among its neighbours of other components."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _runs(batches, "value"):
+            v, d, comp, sign, n, at = c["value"], c["doc_id"], c["component"], c["sign"], c["size"] >> PLACES, c["size"] & ((1 << PLACES) - 1)
+            best, partner = np.full(len(v), SIGNATURE + 1), np.full(len(v), -1)
+            for step in range(1, min(NEIGHBOURS, len(v) - 1) + 1):
+                i = np.flatnonzero((v[:-step] == v[step:]) & (comp[:-step] != comp[step:]) & (100 * n[:-step] >= similar * n[step:]))
+                if not len(i):
+                    continue
+                i = i[shareable(n[i], at[i], n[i + step], at[i + step], similar)]
+                far = np.bitwise_count(sign[i] ^ sign[i + step]).sum(1).astype(np.int64)
+                may = far <= most_different(n[i], n[i + step], similar)
+                i, far = i[may], far[may]
+                for a, b in ((i, i + step), (i + step, i)):
+                    less = far < best[a]
+                    best[a[less]], partner[a[less]] = far[less], b[less]
+            one = np.flatnonzero(partner >= 0)
+            if len(one):
+                yield _distinct([np.stack([np.minimum(d[one], d[partner[one]]), np.maximum(d[one], d[partner[one]])])])
+
+    return _sorted(lists).mapInArrow(work, "a long, b long").distinct()
+
+
 def _rest(lists: DataFrame, similar: int) -> DataFrame:
     """Distinct pairs a < b of documents in one list and different components, whose sizes, places there and signatures allow a link."""
 
@@ -258,7 +308,7 @@ def _rest(lists: DataFrame, similar: int) -> DataFrame:
         if found:
             yield _distinct(found)
 
-    return lists.repartition("value").sortWithinPartitions("value", "size", "doc_id").mapInArrow(work, "a long, b long").distinct()
+    return _sorted(lists).mapInArrow(work, "a long, b long").distinct()
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -357,19 +407,27 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     placed = label.join(same.select(F.col("a").alias("id"), F.lit(True).alias("copy")).distinct(), "id", "left")
     named = lists.filter("whole").join(signs.select("doc_id", "sign"), "doc_id").join(placed, F.col("doc_id") == placed["id"], "left").filter("copy IS NULL").select("value", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"), "sign")
     tested = star.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    rest = _rest(named, similar).join(tested, ["a", "b"], "left_anti")
-    pairs = materialize(_possible(rest.withColumn("k", F.lit(1).cast("long")), signs, similar).select("a", "b"), "rest-pairs")
-    drop(lists, star)
-    if pairs.isEmpty():
-        final = label
-    else:
-        texts = materialize(_texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "texts")
-        more = materialize(_verified(pairs, texts, similar), "rest-links")
-        final = label if more.isEmpty() else materialize(components(linked.union(more)), "labels")
-        drop(texts)
+    mixed = materialize(_mixed(named), "mixed")
+    drop(lists)
+    placed = lambda: mixed.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("value", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"), "sign")
+    # what is still apart: first each document with the one most like it, until that joins nothing; then all
+    turn = 0 if not mixed.isEmpty() else ROUNDS + 1
+    while turn <= ROUNDS:
+        rest = (_rest if turn == ROUNDS else _nearest)(placed(), similar).join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(_possible(rest.withColumn("k", F.lit(1).cast("long")), signs, similar).select("a", "b"), "rest-pairs")
+        more = None
+        if not pairs.isEmpty():
+            texts = materialize(_texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "texts")
+            more = materialize(_verified(pairs, texts, similar), "rest-links")
+            drop(texts)
+            tested = tested.union(pairs)
+            if not more.isEmpty():
+                linked = linked.union(more)
+                label = materialize(components(linked), "labels")
+        turn = turn + 1 if turn == ROUNDS or more is not None and not more.isEmpty() else ROUNDS
+    final = label
     free_shuffles(spark)
     out = sketches.join(final, sketches["doc_id"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    drop(pairs)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
