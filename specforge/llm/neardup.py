@@ -254,7 +254,7 @@ def _mixed(lists: DataFrame) -> DataFrame:
 
 #: Neighbours in a list, in the order of size, of which a document is paired with the one of another component that looks most alike;
 #: and at most how often, before what is still apart is compared in full.
-NEIGHBOURS, ROUNDS = 64, 4
+NEIGHBOURS, ROUNDS = 64, 2
 
 
 def _nearest(lists: DataFrame, similar: int) -> DataFrame:
