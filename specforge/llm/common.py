@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -14,6 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Arrays from so many bytes on are mapped on their own, so that a Python worker, which Spark keeps for later stages, gives their memory back when they are freed.
+MAPPED_BYTES = 1 << 18
+
+
+def _give_memory_back() -> None:
+    """Where the C library has mallopt (glibc): a fixed threshold for mapping, two arenas; and Arrow's buffers by the same allocator."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        for option, value in ((-3, MAPPED_BYTES), (-8, 2)):  # M_MMAP_THRESHOLD, M_ARENA_MAX
+            mallopt(option, value)
+
+
+_give_memory_back()
+
 #: Words are runs of anything but the ASCII blanks; Java regex form.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python code handles at once; a longer document is handled alone.
