@@ -1,17 +1,20 @@
-"""Language-model scoring with a bigram model whose trie is dealt out over shards by the context's hash.
+"""Language-model scoring with a trigram model whose trie is dealt out over shards by the word before a token.
 
-Every token is sent once, with its context, to the shard of that context. A shard counts the training tokens, builds
-its part of the trie and scores all tokens it was sent, so the model is never gathered or broadcast:
+Every token (w after v after u) is sent once, to the shard of v. A shard counts the training tokens, builds its part of
+the trie and scores all tokens it was sent, so the model is never gathered or broadcast:
 
-level 1  the shard's contexts, an ascending sequence of hashes, with their counts and back-off weights;
-pointers where each context's successors begin: a monotone sequence, Elias-Fano coded;
-level 2  (rank of the context, successor) as one ascending sequence, Elias-Fano coded, with log probabilities quantised to a byte.
+level 1  the shard's contexts v, ascending, with their counts and back-off weights;
+level 2  the successors w of each v, and the words u before each v: two ascending sequences with pointers;
+level 3  the successors of each (u, v), each as its place among the successors of v, with pointers.
 
-A successor is looked up within its context's range only: its rank and hash make the key, whose high part names a
-short run of the sequence, in which the low parts are bisected. Levels lie in memory-mapped files of the task's temporary folder while they are queried.
+Sequences and pointers are Elias-Fano coded in memory-mapped files of the task's temporary folder; a successor is
+bisected between its context's two pointers. Log probabilities are quantised to a byte. Words are 64-bit hashes, numbered within a shard.
 
-P(w | u) = (c(uw) - D) / c(u) where uw was seen, else D * (distinct successors of u) / c(u) * P(w), or P(w) where u was
-never seen; P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+A word that begins more than 1 / (2 shards) of all tokens is hot: its tokens are dealt out by u as well. Trigrams stay
+whole that way; the parts of its bigram counts meet, as counts, in shards of (v, w), where tokens whose trigram is unseen follow.
+
+P(w | u, v) = (c(uvw) - D) / c(uv) where uvw was seen, else D * (distinct successors of uv) / c(uv) * P(w | v), or
+P(w | v) where uv was never seen; P(w | v) likewise from bigrams; P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). A text's first token has no u and starts at P(w | v).
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, n_words, small_batches, utf8
+from .common import chunks, drop, materialize, n_words, small_batches, utf8
 from .textkernel import word_hashes
 
 DISCOUNT = 0.75
-#: Bits of a successor's hash in the trie; text bytes whose tokens are sent together; quantisation steps for each power of ten.
-SUCCESSOR_BITS, SEND_BYTES, STEPS = 40, 6 << 20, 24
+#: Text bytes whose tokens are sent together; quantisation steps for each power of ten; words counted together.
+SEND_BYTES, STEPS, COUNT_WORDS = 6 << 20, 24, 1 << 20
 BEGIN, END = np.uint64(0x5A17C0DE00000001), np.uint64(0xA5E83F21FFFFFFFE)
-_LOW = np.uint64(64 - SUCCESSOR_BITS)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -72,52 +75,33 @@ class EliasFano:
         whole = np.memmap(self._file, np.uint8, "r")
         self.upper, self.zeros = whole[: size * 8].view(np.uint64), whole[size * 8 : size * 16].view(np.uint64)
         self.lows = whole[size * 16 :].reshape(n, width)
-
-    def select0(self, k: np.ndarray) -> np.ndarray:
-        """The place of the k-th zero of the high bits."""
-        word = np.searchsorted(self.zeros, k.astype(np.uint64), "right") - 1
-        left = k - self.zeros[word].astype(np.int64)
-        bits, at = ~self.upper[word], np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            part = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            on = left >= part
-            left -= part * on
-            at += width * on
-            bits = np.where(on, bits >> np.uint64(width), bits)
-        return word * 64 + at
+        self.ones = np.arange(size, dtype=np.int64) * 64 - self.zeros.astype(np.int64)
 
     def low(self, i: np.ndarray) -> np.ndarray:
         raw = np.zeros((len(i), 8), np.uint8)
         raw[:, : self.lows.shape[1]] = self.lows[i]
         return raw.reshape(-1).view(np.uint64)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1."""
-        if not self.n or not len(values):
-            return np.full(len(values), -1)
-        high = (values >> np.uint64(self.shift)).astype(np.int64)
-        end = self.select0(high) - high
-        begin = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - high + 1, 0)
-        want = values & np.uint64((1 << self.shift) - 1)
+    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each value between begin and end, or -1."""
         low, top = begin.copy(), end.copy()
         live = np.flatnonzero(low < top)
         while live.size:
             mid = (low[live] + top[live]) // 2
-            less = self.low(mid) < want[live]
+            less = self[mid] < values[live]
             low[live] = np.where(less, mid + 1, low[live])
             top[live] = np.where(less, top[live], mid)
             live = live[low[live] < top[live]]
         hit = np.flatnonzero(low < end)
-        hit = hit[self.low(low[hit]) == want[hit]]
+        hit = hit[self[low[hit]] == values[hit]]
         out = np.full(len(values), -1)
         out[hit] = low[hit]
         return out
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """Values at the places i, by selecting ones."""
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        word = np.searchsorted(ones, i, "right") - 1
-        left = i - ones[word]
+        word = np.searchsorted(self.ones, i, "right") - 1
+        left = i - self.ones[word]
         bits, at = np.array(self.upper[word]), np.zeros(len(i), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             part = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
@@ -128,54 +112,175 @@ class EliasFano:
         return ((word * 64 + at - i).astype(np.uint64) << np.uint64(self.shift)) | self.low(i)
 
 
-class Trie:
-    """One shard's contexts and successors, from sorted pairs (context, successor) with their counts."""
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def _codes(probability: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(probability) * STEPS), 0, 255).astype(np.uint8)
+
 
-    def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray):
-        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        rank = np.cumsum(new) - 1
-        self.contexts = context[first]
+class Trie:
+    """One shard's n-grams of numbered words: pairs (v, w) in order with counts, and (context, pair) in order with counts,
+    where contexts are ascending numbers of (v, u), given as v * size + u, and pairs are named by their places."""
+
+    def __init__(self, size: int, v: np.ndarray, w: np.ndarray, count: np.ndarray, contexts: np.ndarray, context: np.ndarray, pair: np.ndarray, count3: np.ndarray):
+        self.size = size
+        first = _runs(v)
+        begin = np.concatenate([first, [len(v)]]).astype(np.uint64)
+        kinds = np.diff(begin.astype(np.int64))
+        self.v, rank = v[first], np.repeat(np.arange(len(first)), kinds)
         self.counts = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
-        kinds = np.diff(np.concatenate([first, [len(context)]]))
         self.backoff = np.log10(DISCOUNT * kinds / np.maximum(1, self.counts))
-        self.pointers = EliasFano(np.concatenate([first, [len(context)]]).astype(np.uint64), len(context))
-        key = (rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor
-        self.successors = EliasFano(key, len(first) << SUCCESSOR_BITS)
-        value = np.log10((count - DISCOUNT) / np.maximum(1, self.counts)[rank]) if len(count) else np.zeros(0)
-        self.codes = np.clip(np.rint(-value * STEPS), 0, 255).astype(np.uint8)
-
-    def rank(self, context: np.ndarray) -> np.ndarray:
-        """The place of each context, or -1."""
-        if not len(self.contexts):
-            return np.full(len(context), -1)
-        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == context, at, -1)
-
-    def score(self, rank: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P of seen pairs, or the back-off weight's log10; and which pairs were seen."""
-        at = np.full(len(rank), -1)
-        known = np.flatnonzero(rank >= 0)
-        at[known] = self.successors.find((rank[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor[known])
+        self.begin = EliasFano(begin, len(v))
+        self.successors = EliasFano(rank.astype(np.uint64) * np.uint64(size) + w.astype(np.uint64), len(first) * size)
+        self.codes = _codes((count - DISCOUNT) / self.counts[rank])
+        # level 3: the words before each v, and the successors of both, relative to those of v
+        first3 = _runs(context)
+        begin3 = np.concatenate([first3, [len(pair)]])
+        own = contexts[context[first3]]
+        of = self.rank(own // size)
+        self.before = EliasFano(of.astype(np.uint64) * np.uint64(size) + (own % size).astype(np.uint64), len(first) * size)
+        self.before_begin = EliasFano(np.searchsorted(of, np.arange(len(first) + 1)).astype(np.uint64), len(own))
+        width = np.cumsum(kinds[of])
+        base = width - kinds[of]
+        top = int(width[-1]) if len(width) else 0
+        self.base, self.begin3 = EliasFano(base.astype(np.uint64), top), EliasFano(begin3.astype(np.uint64), len(pair))
+        rank3 = np.repeat(np.arange(len(own)), np.diff(begin3))
+        self.thirds = EliasFano((base[rank3] + pair - first[of][rank3]).astype(np.uint64), top)
+        total = np.add.reduceat(count3, first3) if len(first3) else np.zeros(0, np.int64)
+        self.backoff3 = np.log10(DISCOUNT * np.diff(begin3) / np.maximum(1, total))
+        self.codes3 = _codes((count3 - DISCOUNT) / total[rank3])
+
+    def rank(self, v: np.ndarray) -> np.ndarray:
+        """The place of each v among the contexts of level 1, or -1."""
+        if not len(self.v):
+            return np.full(len(v), -1)
+        at = np.minimum(np.searchsorted(self.v, v), len(self.v) - 1)
+        return np.where(self.v[at] == v, at, -1)
+
+    def _between(self, sequence: EliasFano, pointers: EliasFano, context: np.ndarray, value: np.ndarray) -> np.ndarray:
+        out = np.full(len(context), -1)
+        on = np.flatnonzero(context >= 0)
+        out[on] = sequence.find(value[on].astype(np.uint64), pointers[context[on]].astype(np.int64), pointers[context[on] + 1].astype(np.int64))
+        return out
+
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P(w | v) of seen pairs, or the back-off weight's log10; and the places of the pairs, -1 for unseen."""
+        rank = self.rank(v)
+        at = self._between(self.successors, self.begin, rank, rank * self.size + w)
+        out = np.where(rank >= 0, self.backoff[np.maximum(rank, 0)], 0.0) if len(self.v) else np.zeros(len(v))
+        out[at >= 0] = self.codes[at[at >= 0]] / -float(STEPS)
+        return out, at
+
+    def contexts(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The place of each (u, v) among the contexts of level 3, or -1."""
+        rank = self.rank(v)
+        return self._between(self.before, self.before_begin, rank, rank * self.size + u)
+
+    def triples(self, context: np.ndarray, v: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P(w | u, v) of seen triples, or the back-off weight's log10; and which were seen; from the places of (u, v) and (v, w)."""
+        out = np.where(context >= 0, self.backoff3[np.maximum(context, 0)], 0.0) if len(self.backoff3) else np.zeros(len(context))
+        context = np.where(pair >= 0, context, -1)
+        relative = np.zeros(len(pair), np.int64)
+        on = np.flatnonzero(context >= 0)
+        relative[on] = self.base[context[on]].astype(np.int64) + pair[on] - self.begin[self.rank(v[on])].astype(np.int64)
+        at = self._between(self.thirds, self.begin3, context, relative)
         seen = at >= 0
-        out = np.zeros(len(rank))
-        out[known] = self.backoff[rank[known]]
-        out[seen] = self.codes[at[seen]] / -float(STEPS)
+        out[seen] = self.codes3[at[seen]] / -float(STEPS)
         return out, seen
 
 
+class Hot:
+    """The hot words, at most 2 a shard: hashes in order, training counts, parts."""
+
+    def __init__(self, word: np.ndarray, count: np.ndarray, parts: np.ndarray, kinds: np.ndarray | None = None):
+        self.word, self.count, self.parts, self.kinds = word, count, parts, kinds
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.full(len(v), -1)
+        at = np.minimum(np.searchsorted(self.word, v), len(self.word) - 1)
+        return np.where(self.word[at] == v, at, -1)
+
+
 def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (b * _ODD)) * _ODD
+    return (x ^ (x >> np.uint64(29))) * _ODD
+
+
+def _deal(v: np.ndarray, u: np.ndarray, shards: int, hot: Hot) -> np.ndarray:
+    to, at = _shard_of(v, shards), hot.find(v)
+    i = np.flatnonzero(at >= 0)
+    part = (_mixed(u[i], v[i]) >> np.uint64(32)) % hot.parts[at[i]].astype(np.uint64)
+    to[i] = _shard_of(_mixed(v[i], part + np.uint64(1)), shards)
+    return to
+
+
 def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest unsigned type."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
+_WORDS = "word long, n long, every long"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and BEGIN with their counts in training rows and in all rows, summed within the task."""
+    held, size = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        word, (n, every) = _sum_by(*[np.concatenate(x) for x in zip(*held)])
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(every.astype(np.int64))], names=["word", "n", "every"])
+
+    for rows, data, offs in chunks(batches, 2):
+        train = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        words, doc = word_hashes(data, offs)
+        word, inverse = np.unique(words, return_inverse=True)
+        held.append((np.append(word, BEGIN), np.append(np.bincount(inverse, weights=train[doc], minlength=len(word)), train.sum()), np.append(np.bincount(inverse, minlength=len(word)), len(train))))
+        size += len(word) + 1
+        if size > COUNT_WORDS:
+            word, sums = _sum_by(*[np.concatenate(x) for x in zip(*held)])
+            held, size = [(word, *sums)], len(word)
+            if size > COUNT_WORDS // 2:
+                yield from out()
+                held, size = [], 0
+    if held:
+        yield from out()
+
+
 _SENT = "shard int, blob binary"
 
 
-def _send(shards: int):
+def _distinct(words: int, docs: int, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of three columns of word numbers and one of document numbers, in order, and how often each occurs."""
+    a, b = words.bit_length(), docs.bit_length()
+    if 3 * a + b <= 64:
+        key = columns[0].astype(np.uint64)
+        for c, width in zip(columns[1:], (a, a, b)):
+            key = (key << np.uint64(width)) | c.astype(np.uint64)
+        key, n = np.unique(key, return_counts=True)
+        out = []
+        for width in (b, a, a, a):
+            out.append((key & np.uint64((1 << width) - 1)).astype(np.int64))
+            key >>= np.uint64(width)
+        return out[::-1], n
+    order = np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    first = np.flatnonzero(np.concatenate([[True], np.any([r[1:] != r[:-1] for r in rows], axis=0)]))
+    return [r[first] for r in rows], np.diff(np.append(first, len(order)))
+
+
+def _send(shards: int, hot: Hot):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -185,29 +290,35 @@ def _send(shards: int):
             keys, train = table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.uint8)
             words, doc = word_hashes(data, offs)
             n_docs, n = len(keys), len(words)
+            vocab, ids = np.unique(np.concatenate([words, [BEGIN, END]]), return_inverse=True)
+            begin, end = ids[-2:]
             at = np.arange(n) + doc  # each document's tokens: its words, then an end
-            token = np.full(n + n_docs, END, np.uint64)
-            token[at] = words
+            w = np.full(n + n_docs, end, np.int64)
+            w[at] = ids[:-2]
             owner = np.empty(n + n_docs, np.int64)
             owner[at] = doc
             ends = np.cumsum(np.bincount(doc, minlength=n_docs) + 1)
             owner[ends - 1] = np.arange(n_docs)
-            context = np.empty(n + n_docs, np.uint64)
-            context[1:] = token[:-1]
-            context[np.concatenate([[0], ends[:-1]])] = BEGIN
-            after = token >> _LOW
-            order = np.lexsort((after, context))
-            context, after, owner = context[order], after[order], owner[order].astype(np.uint32)
-            cuts = np.searchsorted(_shard_of(context, shards), np.arange(shards + 1))
-            for s in range(shards):
-                a, b = int(cuts[s]), int(cuts[s + 1])
-                if a == b:
-                    continue
-                new = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
-                there, own = np.unique(owner[a:b], return_inverse=True)
-                small = np.uint16 if len(there) < 65536 else np.uint32
-                blob = _pack(context[a:b][new], np.diff(np.concatenate([new, [b - a]])).astype(np.uint32), (after[a:b] >> np.uint64(8)).astype(np.uint32), (after[a:b] & np.uint64(255)).astype(np.uint8), own.astype(small), keys[there], train[there])
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+            starts = np.concatenate([[0], ends[:-1]])
+            v, u = np.empty_like(w), np.empty_like(w)
+            v[1:] = w[:-1]
+            v[starts] = begin
+            u[1:] = v[:-1]
+            u[starts] = w[starts]  # deals first tokens out by themselves; no trigram is made of it
+            (v, u, w, owner), times = _distinct(len(vocab), n_docs, v, u, w, owner)
+            to = _deal(vocab[v], vocab[u], shards, hot)
+            order = np.argsort(to.astype(np.int32), kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(cuts)):
+                own = order[cuts[s] : cuts[s + 1]]
+                used = np.zeros(len(vocab), bool)
+                for x in (v, u, w):
+                    used[x[own]] = True
+                number = np.cumsum(used) - 1
+                first = _runs(v[own])
+                there, docs_at = np.unique(owner[own], return_inverse=True)
+                blob = _pack(vocab[used], _small(number[v[own][first]]), _small(np.diff(np.append(first, len(own)))), _small(number[u[own]]), _small(number[w[own]]), _small(docs_at), _small(times[own]), keys[there], train[there])
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
 
         for b in batches:
             if not b.num_rows:
@@ -223,12 +334,11 @@ def _send(shards: int):
     return work
 
 
-_MADE = "kind int, shard int, known long, n long, blob binary"
+_MADE = "kind int, shard int, blob binary"
 
 
-def _made(kind: int, shard: int, blob: bytes, known: int = 0, n: int = 0) -> pa.RecordBatch:
-    cols = [pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([known], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _MADE.split(", ")])
+def _made(kind: int, shard: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], names=["kind", "shard", "blob"])
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
@@ -259,7 +369,7 @@ def _packed_sums(total: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[p
     cuts = np.searchsorted(to[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)):
         own = order[cuts[s] : cuts[s + 1]]
-        yield _made(0, int(s), _pack(key[own], *[v[own].astype(np.float64 if i == 0 else np.float32) for i, v in enumerate(sums)]))
+        yield _made(0, int(s), _pack(key[own], *[v[own].astype(kind) for v, kind in zip(sums, (np.float64, np.int64, np.float32))]))
 
 
 def _merge_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,46 +379,78 @@ def _merge_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums)], names=["key", *_SUMS[: len(sums)]])
 
 
-_SUMS = ["base", "known", "model", "missed"]
+_SUMS = ["base", "known", "model"]
 
 
-def _count_and_score(shards: int):
-    """From what a shard was sent: kind 0 sums by document, kind 1 tokens whose pair is unseen, kind 2 the words' counts."""
+def _send_on(kind: int, to: np.ndarray, shards: int, item: np.ndarray, describe: list[np.ndarray], doc: np.ndarray, times: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Tokens for another shard: what the used items are (describe), item, document and times of each token, the documents' keys."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[s] : cuts[s + 1]]
+        used, at = np.unique(item[own], return_inverse=True)
+        there, docs_at = np.unique(doc[own], return_inverse=True)
+        yield _made(kind, int(s), _pack(_small(at), _small(docs_at), _small(times[own]), keys[there], *[d[used] for d in describe]))
+
+
+def _count_and_score(shards: int, hot: Hot):
+    """From what a shard was sent: kind 0 sums by document; 1 tokens whose pair is unseen; 2 words' counts; and of hot words
+    3 pairs with their counts here, 4 tokens whose triple is unseen."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: list[tuple[np.ndarray, ...]] = []
         for shard, sent in _by_shard(batches):
-            context = np.concatenate([np.repeat(p[0], p[1]) for p in sent])
-            after = np.concatenate([(p[2].astype(np.uint64) << np.uint64(8)) | p[3] for p in sent])
-            base = np.cumsum([0] + [len(p[5]) for p in sent])
-            doc = np.concatenate([p[4].astype(np.int64) + a for p, a in zip(sent, base)])
-            keys, train = np.concatenate([p[5] for p in sent]), np.concatenate([p[6] for p in sent]).astype(bool)
-            del sent
-            order = np.lexsort((after, context))
-            context, after, doc = context[order], after[order], doc[order]
-            new = np.concatenate([[True], (context[1:] != context[:-1]) | (after[1:] != after[:-1])])
-            pair = np.cumsum(new) - 1
-            u, v = context[new], after[new]
-            count = np.bincount(pair, weights=train[doc], minlength=len(u)).astype(np.int64)
-            has = count > 0
-            trie = Trie(u[has], v[has], count[has])
-            rank = trie.rank(u)
-            value, seen = trie.score(rank, v)
-            c = np.where(rank >= 0, trie.counts[np.maximum(rank, 0)], 0) if len(trie.counts) else np.zeros(len(u), np.int64)
-            word = context != BEGIN
-            total.append((keys, *[np.bincount(doc, weights=w, minlength=len(keys)) for w in (np.where(word, np.log10(c + 0.5)[pair], 0), word & (c > 0)[pair], value[pair], ~seen[pair])]))
-            miss = np.flatnonzero(~seen[pair])
-            if len(miss):
-                to = _shard_of(after[miss] << _LOW, shards)
-                by = np.argsort(to, kind="stable")
-                miss, to = miss[by], to[by]
-                cuts = np.searchsorted(to, np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cuts)):
-                    own = miss[cuts[s] : cuts[s + 1]]
-                    there, at = np.unique(doc[own], return_inverse=True)
-                    yield _made(1, int(s), _pack(after[own], at.astype(np.uint32), keys[there]))
-            words = trie.contexts != BEGIN
-            yield _made(2, int(shard), _pack(trie.contexts[words] >> _LOW, trie.counts[words].astype(np.int64)), int(words.sum()), int(trie.counts[words].sum()))
+            vocab, place = np.unique(np.concatenate([p[0] for p in sent]), return_inverse=True)
+            place = np.split(place, np.cumsum([len(p[0]) for p in sent])[:-1])
+            base = np.cumsum([0] + [len(p[7]) for p in sent])
+            v = np.concatenate([np.repeat(x[p[1]], p[2]) for x, p in zip(place, sent)])
+            u = np.concatenate([x[p[3]] for x, p in zip(place, sent)])
+            w = np.concatenate([x[p[4]] for x, p in zip(place, sent)])
+            doc = np.concatenate([p[5].astype(np.int64) + a for p, a in zip(sent, base)])
+            times = np.concatenate([p[6].astype(np.int64) for p in sent])
+            keys, train = np.concatenate([p[7] for p in sent]), np.concatenate([p[8] for p in sent]).astype(bool)
+            del sent, place
+            size = len(vocab)
+            taught = times * train[doc]
+            pairs, pair = np.unique(v * size + w, return_inverse=True)
+            contexts, context = np.unique(v * size + u, return_inverse=True)
+            del v, u, w
+            triples, triple = np.unique(context * len(pairs) + pair, return_inverse=True)
+            del context
+            count = np.bincount(pair, weights=taught, minlength=len(pairs)).astype(np.int64)
+            count3 = np.bincount(triple, weights=taught, minlength=len(triples)).astype(np.int64)
+            del taught
+            pv, pw = pairs // size, pairs % size
+            tc, tp = triples // len(pairs), triples % len(pairs)
+            starts = vocab == BEGIN
+            has, has3 = count > 0, (count3 > 0) & ~starts[pv[tp]]
+            trie = Trie(size, pv[has], pw[has], count[has], contexts, tc[has3], (np.cumsum(has) - 1)[tp[has3]], count3[has3])
+            value, at = trie.pairs(pv, pw)
+            known_context = trie.contexts(contexts // size, contexts % size)
+            value3, seen3 = trie.triples(known_context[tc], pv[tp], at[tp])
+            hot_at = hot.find(vocab)
+            rank = trie.rank(pv)
+            c = np.where(rank >= 0, trie.counts[np.maximum(rank, 0)], 0) if len(trie.counts) else np.zeros(len(pairs), np.int64)
+            is_hot = hot_at[pv] >= 0
+            if is_hot.any():
+                c[is_hot] = hot.count[hot_at[pv[is_hot]]]
+            word = ~starts[pv]
+            down = ~seen3[triple]
+            model = value3[triple] + np.where(down & ~is_hot[pair], value[pair], 0)
+            sums = (np.where(word, np.log10(c + 0.5), 0)[pair], (word & (c > 0))[pair], model)
+            total.append((keys, *[np.bincount(doc, weights=x * times, minlength=len(keys)) for x in sums]))
+            del model, sums
+            miss = np.flatnonzero(down & ~is_hot[pair] & (at[pair] < 0))
+            yield from _send_on(1, _shard_of(vocab[pw[pair[miss]]], shards), shards, pw[pair[miss]], [vocab], doc[miss], times[miss], keys)
+            later = np.flatnonzero(down & is_hot[pair])
+            to = _shard_of(_mixed(vocab[pv], vocab[pw]), shards)
+            yield from _send_on(4, to[pair[later]], shards, pair[later], [vocab[pv], vocab[pw]], doc[later], times[later], keys)
+            part = np.flatnonzero(is_hot & has)
+            for s in np.unique(to[part]):
+                own = part[to[part] == s]
+                yield _made(3, int(s), _pack(vocab[pv[own]], vocab[pw[own]], count[own]))
+            cold = (hot_at[trie.v] < 0) & ~starts[trie.v]
+            yield _made(2, int(shard), _pack(vocab[trie.v[cold]], trie.counts[cold].astype(np.int64)))
             if sum(len(t[0]) for t in total) > 2_000_000:
                 yield from _packed_sums(total, shards)
                 total = []
@@ -317,8 +459,65 @@ def _count_and_score(shards: int):
     return work
 
 
-def _look_up(ends: int, shards: int):
-    """log10(c + 0.5) of the tokens sent on, summed by document; what a shard gets: its words' counts (2) and tokens (1)."""
+def _hot_pairs(hot: Hot, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in order; and, in order, number of the hot word * words + word, with its count."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    v, w, count = (np.concatenate(x) for x in zip(*parts))
+    words, at = np.unique(w, return_inverse=True)
+    pairs, (counts,) = _sum_by(hot.find(v) * len(words) + at, count)
+    return words, pairs, counts.astype(np.int64)
+
+
+def _hot_kinds(hot: Hot):
+    """Successors of each hot word among a shard's pairs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _by_shard(batches):
+            words, pairs, _ = _hot_pairs(hot, parts)
+            at, kinds = np.unique(pairs // len(words), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(kinds.astype(np.int64))], names=["at", "kinds"])
+
+    return work
+
+
+def _score_hot(hot: Hot, shards: int):
+    """P(w | v) after hot words: kind 0 sums by document, 1 tokens whose pair is unseen; a shard gets its counts (3) first, then tokens (4)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shard, parts, ready = [], None, [], None
+        for b in batches:
+            for s, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                p = _unpack(blob.as_py())
+                if s != shard:
+                    shard, parts, ready = s, [], None
+                if kind == 3:
+                    parts.append(p)
+                    continue
+                words, pairs, counts = ready = ready or _hot_pairs(hot, parts)
+                item, doc, times, keys, v, w = p
+                h = hot.find(v)
+                c = np.zeros(len(v), np.int64)
+                if len(pairs):
+                    at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                    key = np.where(words[at] == w, h * len(words) + at, -1)
+                    place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                    c = np.where(pairs[place] == key, counts[place], 0)
+                of = np.maximum(1, hot.count[h])
+                value = np.where(c > 0, _codes(np.maximum(c - DISCOUNT, DISCOUNT / 4) / of) / -float(STEPS), np.where(hot.count[h] > 0, np.log10(DISCOUNT * np.maximum(1, hot.kinds[h]) / of), 0))
+                total.append((keys, np.bincount(doc, weights=value[item] * times, minlength=len(keys))))
+                miss = np.flatnonzero(c[item] == 0)
+                yield from _send_on(1, _shard_of(w[item[miss]], shards), shards, item[miss], [w], doc[miss].astype(np.int64), times[miss], keys)
+            if sum(len(t[0]) for t in total) > 2_000_000:
+                yield from _packed_sums(total, shards)
+                total = []
+        yield from _packed_sums(total, shards)
+
+    return work
+
+
+def _look_up(ends: int, log_total: float, hot: Hot, shards: int):
+    """log10 P(w) of the tokens sent on, summed by document; what a shard gets: its words' counts (2) and tokens (1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, shard, words, counts = [], None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -330,12 +529,17 @@ def _look_up(ends: int, shards: int):
                 if kind == 2:  # first of its shard
                     words, counts = p
                     continue
-                c = np.zeros(len(p[0]), np.int64)
+                item, doc, times, keys, word = p
+                c = np.where(word == END, ends, 0)
                 if len(words):
-                    at = np.minimum(np.searchsorted(words, p[0]), len(words) - 1)
-                    c = np.where(words[at] == p[0], counts[at], 0)
-                c = np.where(p[0] == END >> _LOW, ends, c)
-                total.append((p[2], np.bincount(p[1], weights=np.log10(c + 0.5), minlength=len(p[2]))))
+                    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                    c = np.where(words[at] == word, counts[at], c)
+                at = hot.find(word)
+                c[at >= 0] = hot.count[at[at >= 0]]
+                total.append((keys, np.bincount(doc, weights=(np.log10(c + 0.5) - log_total)[item] * times, minlength=len(keys))))
+            if sum(len(t[0]) for t in total) > 2_000_000:
+                yield from _packed_sums(total, shards)
+                total = []
         yield from _packed_sums(total, shards)
 
     return work
@@ -351,22 +555,36 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     small_batches(docs.sparkSession, 200)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), _held_out(F.col("doc_id")).alias("held_out"))
     shards = shards or max(16, 2 * docs.rdd.getNumPartitions())
-    sent = rows.select("key", (~F.col("held_out")).alias("train"), "text").mapInArrow(_send(shards), _SENT)
-    made = materialize(sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_count_and_score(shards), _MADE), "scores")
-    ends = rows.filter(~F.col("held_out")).count()
-    kinds, words = made.filter("kind = 2").agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n, v = words + ends, kinds + (ends > 0)
-    merged = lambda df, *names: df.select("shard", "blob").repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_sums, "key long, " + ", ".join(f"{k} double" for k in names))
-    looked = made.filter("kind > 0").select("shard", "kind", "blob").repartition("shard").sortWithinPartitions("shard", F.desc("kind")).mapInArrow(_look_up(ends, shards), _MADE)
+    texts = rows.select("key", (~F.col("held_out")).alias("train"), "text")
+    counts = materialize(texts.mapInArrow(_count_words, _WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "words")
+    begin = F.col("word") == int(BEGIN.astype(np.int64))
+    zero = F.lit(0)
+    n, v, ends, every = counts.agg(*[F.coalesce(x, zero) for x in (F.sum(F.when(~begin, F.col("n"))), F.count_if(~begin & (F.col("n") > 0)), F.sum(F.when(begin, F.col("n"))), F.sum("every"))]).first()
+    n, v = n + ends, v + (ends > 0)
+    found = sorted((r["word"] % (1 << 64), r["n"], min(shards, -(-r["every"] * 2 * shards // every))) for r in counts.filter(F.col("every") * (2 * shards) > every).collect())  # fewer than 2 a shard
+    hot = Hot(np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64))
+    drop(counts)
+    log_total = float(np.log10(n + 0.5 * (v + 1)))
+    sorted_by = lambda df, *order: df.repartition("shard").sortWithinPartitions("shard", *order)
+    made = materialize(sorted_by(texts.mapInArrow(_send(shards, hot), _SENT)).mapInArrow(_count_and_score(shards, hot), _MADE), "scores")
+    tokens, sums_after = made.filter("kind in (1, 2)"), []
+    if found:
+        kinds = {r["at"]: r["kinds"] for r in sorted_by(made.filter("kind = 3").select("shard", "blob")).mapInArrow(_hot_kinds(hot), "at long, kinds long").groupBy("at").agg(F.sum("kinds").alias("kinds")).collect()}
+        hot.kinds = np.array([kinds.get(i, 0) for i in range(len(found))], np.int64)
+        after = materialize(sorted_by(made.filter("kind > 2").select("shard", "kind", "blob"), "kind").mapInArrow(_score_hot(hot, shards), _MADE), "hot-scores")
+        tokens, sums_after = tokens.unionAll(after.filter("kind = 1")), [after.filter("kind = 0")]
+    merged = lambda df, *names: sorted_by(df.select("shard", "blob")).mapInArrow(_merge_sums, "key long, " + ", ".join(f"{k} double" for k in names))
+    looked = sorted_by(tokens.select("shard", "kind", "blob"), F.desc("kind")).mapInArrow(_look_up(ends, log_total, hot, shards), _MADE)
+    for df in sums_after:
+        looked = looked.unionAll(df)
     rest = merged(looked, "base").withColumnRenamed("base", "rest")
     sums = merged(made.filter("kind = 0"), *_SUMS)
     whole = rows.select("doc_id", "key", "held_out", n_words(F.col("text")).alias("words")).join(sums, "key", "left").join(rest, "key", "left")
     # equal rows were summed together: each has its part
     copies = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    total = F.log10(F.lit(float(n) + 0.5 * (v + 1)))
     part = lambda k: F.coalesce(F.col(k), F.lit(0.0)) / F.col("copies")
     tokens = F.col("words") + 1
     return whole.withColumn("copies", copies).select(
         "doc_id", "held_out", tokens.alias("n_tokens"), (F.round(part("known")) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (part("base") + F.lit(float(np.log10(ends + 0.5))) - tokens * total).alias("base_score"), (part("model") + part("rest") - part("missed") * total).alias("score"),
+        (part("base") + F.lit(float(np.log10(ends + 0.5))) - tokens * F.lit(log_total)).alias("base_score"), (part("model") + part("rest")).alias("score"),
     )
