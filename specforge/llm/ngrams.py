@@ -7,8 +7,8 @@ level 1  the shard's contexts v, ascending, with their counts and back-off weigh
 level 2  the successors w of each v, and the words u before each v: two ascending sequences with pointers;
 level 3  the successors of each (u, v), each as its place among the successors of v, with pointers.
 
-Sequences and pointers are Elias-Fano coded in memory-mapped files of the task's temporary folder; a successor is
-bisected between its context's two pointers. Log probabilities are quantised to a byte. Words are 64-bit hashes, numbered within a shard.
+Sequences and pointers are Elias-Fano coded in memory-mapped files of the task's temporary folder. Successors are looked up
+many at a time in order of context: what lies between the pointers of these contexts is decoded and bisected. Log probabilities are quantised to a byte. Words are 64-bit hashes, numbered within a shard.
 
 A word that begins more than 1 / (2 shards) of all tokens is hot: its tokens are dealt out by u as well. Trigrams stay
 whole that way; the parts of its bigram counts meet, as counts, in shards of (v, w), where tokens whose trigram is unseen follow.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +32,30 @@ from .common import chunks, drop, materialize, n_words, small_batches, utf8
 from .textkernel import word_hashes
 
 DISCOUNT = 0.75
-#: Text bytes whose tokens are sent together; quantisation steps for each power of ten; words counted together.
+#: Text bytes whose tokens are sent together; quantisation steps for each power of ten; words a task counts before it sends them on.
 SEND_BYTES, STEPS, COUNT_WORDS = 6 << 20, 24, 1 << 20
+#: The most frequent words, told to all tasks (8 bytes each), are sent as numbers, others as hashes with what is sent; tokens looked up together.
+COMMON, LOOKED = 49_152, 1 << 17
 BEGIN, END = np.uint64(0x5A17C0DE00000001), np.uint64(0xA5E83F21FFFFFFFE)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays as bytes, compressed by place: first bytes of all values, then second ones..."""
+    head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], np.int64)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     head = np.frombuffer(blob, np.int64, 1 + 2 * n)[1:].reshape(n, 2)
     out, at = [], 8 * (1 + 2 * n)
     for char, length in head:
         kind = np.dtype(chr(char))
-        out.append(np.frombuffer(blob, kind, length, at))
+        planes = np.frombuffer(blob, np.uint8, int(length) * kind.itemsize, at).reshape(kind.itemsize, int(length))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += kind.itemsize * int(length)
     return out
 
@@ -72,31 +80,37 @@ class EliasFano:
         for p in parts:
             self._file.write(p.tobytes())
         self._file.flush()
-        whole = np.memmap(self._file, np.uint8, "r")
+        whole = np.asarray(np.memmap(self._file, np.uint8, "r"))
         self.upper, self.zeros = whole[: size * 8].view(np.uint64), whole[size * 8 : size * 16].view(np.uint64)
         self.lows = whole[size * 16 :].reshape(n, width)
         self.ones = np.arange(size, dtype=np.int64) * 64 - self.zeros.astype(np.int64)
 
-    def low(self, i: np.ndarray) -> np.ndarray:
-        raw = np.zeros((len(i), 8), np.uint8)
-        raw[:, : self.lows.shape[1]] = self.lows[i]
+    def low(self, i: np.ndarray | slice) -> np.ndarray:
+        lows = self.lows[i]
+        raw = np.zeros((len(lows), 8), np.uint8)
+        raw[:, : lows.shape[1]] = lows
         return raw.reshape(-1).view(np.uint64)
 
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The values at the places a to b - 1."""
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first, last = np.searchsorted(self.ones, [a, b - 1], "right") - 1
+        ones = np.flatnonzero(np.unpackbits(self.upper[first : last + 1].view(np.uint8), bitorder="little"))
+        high = ones[a - self.ones[first] :][: b - a] + 64 * first - np.arange(a, b)
+        return (high.astype(np.uint64) << np.uint64(self.shift)) | self.low(np.s_[a:b])
+
     def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place of each value between begin and end, or -1."""
-        low, top = begin.copy(), end.copy()
-        live = np.flatnonzero(low < top)
-        while live.size:
-            mid = (low[live] + top[live]) // 2
-            less = self[mid] < values[live]
-            low[live] = np.where(less, mid + 1, low[live])
-            top[live] = np.where(less, top[live], mid)
-            live = live[low[live] < top[live]]
-        hit = np.flatnonzero(low < end)
-        hit = hit[self[low[hit]] == values[hit]]
-        out = np.full(len(values), -1)
-        out[hit] = low[hit]
-        return out
+        """The place of each value between its begin and its end, or -1; only what lies between the least and the greatest of these is read."""
+        if not len(values):
+            return np.zeros(0, np.int64)
+        start = int(begin.min())
+        read = self.between(start, int(end.max()))
+        if not len(read):
+            return np.full(len(values), -1)
+        at = np.searchsorted(read, values)
+        found = (read[np.minimum(at, len(read) - 1)] == values) & (at < len(read)) & (at + start >= begin) & (at + start < end)
+        return np.where(found, at + start, -1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """Values at the places i, by selecting ones."""
@@ -112,6 +126,16 @@ class EliasFano:
         return ((word * 64 + at - i).astype(np.uint64) << np.uint64(self.shift)) | self.low(i)
 
 
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and for each value its place among them in 32 bits."""
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], place
+
+
 def _runs(key: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -162,8 +186,11 @@ class Trie:
 
     def _between(self, sequence: EliasFano, pointers: EliasFano, context: np.ndarray, value: np.ndarray) -> np.ndarray:
         out = np.full(len(context), -1)
-        on = np.flatnonzero(context >= 0)
-        out[on] = sequence.find(value[on].astype(np.uint64), pointers[context[on]].astype(np.int64), pointers[context[on] + 1].astype(np.int64))
+        known = np.flatnonzero(context >= 0)
+        for i in range(0, len(known), LOOKED):
+            on = known[i : i + LOOKED]
+            own, at = np.unique(context[on], return_inverse=True)
+            out[on] = sequence.find(value[on].astype(np.uint64), pointers[own].astype(np.int64)[at], pointers[own + 1].astype(np.int64)[at])
         return out
 
     def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +307,10 @@ def _distinct(words: int, docs: int, *columns: np.ndarray) -> tuple[list[np.ndar
     return [r[first] for r in rows], np.diff(np.append(first, len(order)))
 
 
-def _send(shards: int, hot: Hot):
+def _send(shards: int, hot: Hot, common: np.ndarray):
+    by_hash = np.argsort(common)
+    sorted_common = common[by_hash]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -292,6 +322,11 @@ def _send(shards: int, hot: Hot):
             n_docs, n = len(keys), len(words)
             vocab, ids = np.unique(np.concatenate([words, [BEGIN, END]]), return_inverse=True)
             begin, end = ids[-2:]
+            code = np.full(len(vocab), -1)
+            if len(common):
+                near = np.minimum(np.searchsorted(sorted_common, vocab), len(common) - 1)
+                code = np.where(sorted_common[near] == vocab, by_hash[near], -1)
+            rare = code < 0
             at = np.arange(n) + doc  # each document's tokens: its words, then an end
             w = np.full(n + n_docs, end, np.int64)
             w[at] = ids[:-2]
@@ -314,7 +349,8 @@ def _send(shards: int, hot: Hot):
                 used = np.zeros(len(vocab), bool)
                 for x in (v, u, w):
                     used[x[own]] = True
-                number = np.cumsum(used) - 1
+                used &= rare
+                number = np.where(rare, len(common) + np.cumsum(used) - 1, code)
                 first = _runs(v[own])
                 there, docs_at = np.unique(owner[own], return_inverse=True)
                 blob = _pack(vocab[used], _small(number[v[own][first]]), _small(np.diff(np.append(first, len(own)))), _small(number[u[own]]), _small(number[w[own]]), _small(docs_at), _small(times[own]), keys[there], train[there])
@@ -393,29 +429,31 @@ def _send_on(kind: int, to: np.ndarray, shards: int, item: np.ndarray, describe:
         yield _made(kind, int(s), _pack(_small(at), _small(docs_at), _small(times[own]), keys[there], *[d[used] for d in describe]))
 
 
-def _count_and_score(shards: int, hot: Hot):
+def _count_and_score(shards: int, hot: Hot, common: np.ndarray):
     """From what a shard was sent: kind 0 sums by document; 1 tokens whose pair is unseen; 2 words' counts; and of hot words
     3 pairs with their counts here, 4 tokens whose triple is unseen."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: list[tuple[np.ndarray, ...]] = []
         for shard, sent in _by_shard(batches):
-            vocab, place = np.unique(np.concatenate([p[0] for p in sent]), return_inverse=True)
-            place = np.split(place, np.cumsum([len(p[0]) for p in sent])[:-1])
+            vocab, place = _numbered(np.concatenate([common, *[p[0] for p in sent]]))
+            shared, *own = np.split(place, len(common) + np.cumsum([0] + [len(p[0]) for p in sent])[:-1])
+            place = [np.concatenate([shared, x]) for x in own]
             base = np.cumsum([0] + [len(p[7]) for p in sent])
             v = np.concatenate([np.repeat(x[p[1]], p[2]) for x, p in zip(place, sent)])
             u = np.concatenate([x[p[3]] for x, p in zip(place, sent)])
             w = np.concatenate([x[p[4]] for x, p in zip(place, sent)])
-            doc = np.concatenate([p[5].astype(np.int64) + a for p, a in zip(sent, base)])
-            times = np.concatenate([p[6].astype(np.int64) for p in sent])
+            doc = np.concatenate([p[5].astype(np.int32) + np.int32(a) for p, a in zip(sent, base)])
+            times = np.concatenate([p[6] for p in sent])
             keys, train = np.concatenate([p[7] for p in sent]), np.concatenate([p[8] for p in sent]).astype(bool)
-            del sent, place
+            del sent, place, own
             size = len(vocab)
             taught = times * train[doc]
-            pairs, pair = np.unique(v * size + w, return_inverse=True)
-            contexts, context = np.unique(v * size + u, return_inverse=True)
+            v = v.astype(np.int64) * size
+            pairs, pair = _numbered(v + w)
+            contexts, context = _numbered(v + u)
             del v, u, w
-            triples, triple = np.unique(context * len(pairs) + pair, return_inverse=True)
+            triples, triple = _numbered(context.astype(np.int64) * len(pairs) + pair)
             del context
             count = np.bincount(pair, weights=taught, minlength=len(pairs)).astype(np.int64)
             count3 = np.bincount(triple, weights=taught, minlength=len(triples)).astype(np.int64)
@@ -554,7 +592,7 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """
     small_batches(docs.sparkSession, 200)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), _held_out(F.col("doc_id")).alias("held_out"))
-    shards = shards or max(16, 2 * docs.rdd.getNumPartitions())
+    shards = shards or max(16, 4 * docs.rdd.getNumPartitions())
     texts = rows.select("key", (~F.col("held_out")).alias("train"), "text")
     counts = materialize(texts.mapInArrow(_count_words, _WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "words")
     begin = F.col("word") == int(BEGIN.astype(np.int64))
@@ -563,10 +601,11 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     n, v = n + ends, v + (ends > 0)
     found = sorted((r["word"] % (1 << 64), r["n"], min(shards, -(-r["every"] * 2 * shards // every))) for r in counts.filter(F.col("every") * (2 * shards) > every).collect())  # fewer than 2 a shard
     hot = Hot(np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64))
+    common = counts.orderBy(F.desc("every"), "word").limit(COMMON).select("word").toArrow().column(0).to_numpy().view(np.uint64)
     drop(counts)
     log_total = float(np.log10(n + 0.5 * (v + 1)))
     sorted_by = lambda df, *order: df.repartition("shard").sortWithinPartitions("shard", *order)
-    made = materialize(sorted_by(texts.mapInArrow(_send(shards, hot), _SENT)).mapInArrow(_count_and_score(shards, hot), _MADE), "scores")
+    made = materialize(sorted_by(texts.mapInArrow(_send(shards, hot, common), _SENT)).mapInArrow(_count_and_score(shards, hot, common), _MADE), "scores")
     tokens, sums_after = made.filter("kind in (1, 2)"), []
     if found:
         kinds = {r["at"]: r["kinds"] for r in sorted_by(made.filter("kind = 3").select("shard", "blob")).mapInArrow(_hot_kinds(hot), "at long, kinds long").groupBy("at").agg(F.sum("kinds").alias("kinds")).collect()}
