@@ -22,8 +22,9 @@ from ..plans.spec import ColumnSpec, Relationship, RuleViolation, Settings, Spec
 
 #: Attempts drawn together in a round; parents of up to this many rows, and of up to this many bytes by their columns' types, are joined by broadcast.
 ATTEMPTS_PER_ROUND, BROADCAST_ROWS, BROADCAST_BYTES = 8, 200_000, 64 << 20
-#: Most attempts to make a column or key unique where no rule bounds them.
-UNIQUE_ATTEMPTS = 10_000
+#: Where no rule bounds the attempts to make a column or key unique: rows draw up to DRAWS times the table's rows in a round, SMALL at least, each up to
+#: ROW_DRAWS values; they are given up after VAIN times the table's rows (SMALL at least), or VAIN rounds, in which no row drew a free value.
+DRAWS, SMALL, ROW_DRAWS, VAIN = 4, 1 << 16, 1 << 20, 32
 #: Most groups of rows whose totals are summed in one task.
 GROUPS = 1 << 16
 
@@ -368,27 +369,29 @@ class Engine:
         from ..sources.storage import checkpointed
 
         done: DataFrame | None = None
-        pending, attempt, each, most = ids, 0, self.each if t.rules else 1, max(1, self.settings.max_rule_attempts) if t.rules else UNIQUE_ATTEMPTS
-        while attempt < most:
-            step = min(each, most - attempt)
+        pending, left, attempt, each, most, vain = ids, t.row_count, 0, self.each if t.rules else 1, max(1, self.settings.max_rule_attempts), 0.0
+        while True:
+            step = min(each, most - attempt) if t.rules else max(1, min(each, ROW_DRAWS, max(SMALL, DRAWS * t.row_count) // max(1, left)))
             tried = draw(pending.select("_rid", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + step - 1))).alias("_attempt")))
             tried = tried.filter(self._passes(tried, t))
-            drop = [c for c in tried.columns if c.startswith(("__p_", "_fk_"))]
-            tried = tried.withColumn("_n", F.row_number().over(Window.partitionBy("_rid").orderBy("_attempt"))).filter("_n = 1").drop("_n", *drop)
-            for k in keys:
+            tried = tried.drop(*[c for c in tried.columns if c.startswith(("__p_", "_fk_"))])
+            for k in keys if done is not None else []:
+                # a row's first attempt is one whose keys no row of an earlier round has
                 cols = [F.col(f"`{c}`") for c in k]
-                tried = tried.withColumn("_n", F.row_number().over(Window.partitionBy(*cols).orderBy("_rid"))).filter("_n = 1").drop("_n")
-                if done is not None:
-                    old = done.select(*[c.alias(f"_k{i}") for i, c in enumerate(cols)])
-                    tried = tried.join(old, reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cols)]), "left_anti")
+                old = done.select(*[c.alias(f"_k{i}") for i, c in enumerate(cols)])
+                tried = tried.join(old, reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cols)]), "left_anti")
+            tried = tried.withColumn("_n", F.row_number().over(Window.partitionBy("_rid").orderBy("_attempt"))).filter("_n = 1").drop("_n")
+            for k in keys:
+                tried = tried.withColumn("_n", F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in k]).orderBy("_rid"))).filter("_n = 1").drop("_n")
             got = checkpointed(tried)
             done = got if done is None else done.unionByName(got)
             pending = checkpointed(pending.join(got.select("_rid"), "_rid", "left_anti"))
             self.written += [got, pending]
-            if pending.isEmpty() or not t.rules and attempt + step > 100 and got.isEmpty():
+            before, left = left, pending.count()
+            vain = 0.0 if left < before else vain + max(1 / VAIN, left * step / max(SMALL, VAIN * t.row_count))
+            attempt, each = attempt + step, min(64, each * 2) if t.rules else each * 4
+            if not left or (attempt >= most if t.rules else vain >= 1):
                 break
-            attempt, each = attempt + step, min(64, each * 2)
-        left = pending.count()
         if not left:
             return done
         if self.settings.fallback == "raise":
@@ -396,7 +399,7 @@ class Engine:
         if self.settings.fallback == "drop":
             self.counts[t.name] = t.row_count - left
             return done
-        null = draw(pending.withColumn("_attempt", F.lit(most)))
+        null = draw(pending.withColumn("_attempt", F.lit(attempt)))
         fk = {c for r in t.relationships for c in r.columns}
         null = null.withColumns({c.name: F.lit(None).cast(TYPES[c.dtype]) for c in t.columns if c.name not in fk})
         return done.unionByName(null.select(*done.columns))

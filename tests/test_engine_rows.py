@@ -38,6 +38,18 @@ def test_impossible_keys_raise(spark):
         run(spark, [t])["t"].count()
 
 
+def test_unique_column_takes_all_values_there_are(spark):
+    x = {"name": "x", "dtype": "int", "generator": "int", "params": {"min": 1, "max": 300}, "constraints": {"unique": True}}
+    got = [r["x"] for r in run(spark, [{"name": "t", "row_count": 300, "columns": [SEQ, x]}])["t"].collect()]
+    assert sorted(got) == list(range(1, 301))
+
+
+def test_unique_pairs_take_all_pairs_there_are(spark):
+    cols = [SEQ, *[{"name": n, "dtype": "int", "generator": "int", "params": {"min": 1, "max": 15}} for n in "ab"]]
+    got = run(spark, [{"name": "t", "row_count": 225, "columns": cols, "unique_constraints": [["a", "b"]]}])["t"].collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(1, 16) for b in range(1, 16)} and len({r["id"] for r in got}) == 225
+
+
 def test_no_parent_rows(spark):
     parent = {"name": "p", "row_count": 3, "primary_key": "id", "columns": [SEQ, {"name": "x", "dtype": "int", "generator": "const", "params": {"value": 1}}], "rules": ["x > 1"]}
     with pytest.raises(SpecError):
